@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .core import let, rewrite_matches
 
 # Characters JSON leaves bare but YAML does not accept in a quoted scalar.
-_UNPRINTABLE = r"[\x7F-\x9F  ﻿￾￿]"
+_UNPRINTABLE = r"[\x7F-\x9F\u2028\u2029\uFEFF\uFFFE\uFFFF]"
 
 
 def frontmatter(

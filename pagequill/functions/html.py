@@ -63,8 +63,8 @@ def _token(kind: str, tag: Column, raw: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), raw.alias("raw"))
 
 
-def attributes(raw: Column) -> Column:
-    """ARRAY<STRUCT<name, value>> of one tag, in order, duplicates kept."""
+def attributes(raw: Column, decoded: bool = True) -> Column:
+    """ARRAY<STRUCT<name, value>> of one tag, in order, duplicates kept; references decoded unless told not to."""
     head = F.when(
         raw.rlike(r"^<(?i:script|style)[" + _WS + r"/>]"), F.regexp_extract(raw, OPEN_TAG, 0)
     ).otherwise(raw)
@@ -76,7 +76,7 @@ def attributes(raw: Column) -> Column:
         bare = F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
         return F.struct(
             F.lower(F.regexp_extract(text, r"^[^" + _WS + r"=]+", 0)).alias("name"),
-            decode_entities(bare).alias("value"),
+            (decode_entities(bare) if decoded else bare).alias("value"),
         )
 
     # a closing tag has no attributes

@@ -14,6 +14,7 @@ from ..functions.core import SPACE, is_blank, let, rewrite_matches, scan, strip,
 from ..functions.entities import decode_entities
 from ..functions.html import BLOCK_TAGS, TAG, attr_first, attr_last, attributes
 from ..functions.urls import url_host
+from ..sources.staging import stage
 from .tokens import with_tokens
 
 # Regions whose text is never article text, strongest first.
@@ -200,7 +201,7 @@ def inline_markdown(inline: Column) -> Column:
 
     def image(tag: Column) -> Column:
         return let(
-            attributes(tag),
+            attributes(tag, decoded=False),
             lambda a: F.concat(
                 F.lit("!["), F.coalesce(attr_last(a, "alt"), F.lit("")), F.lit("]("), strip(image_source(a)), F.lit(")")
             ),
@@ -209,7 +210,7 @@ def inline_markdown(inline: Column) -> Column:
     def link(match: Column) -> Column:
         inner = F.regexp_extract(match, _ANCHOR, 1)
         return let(
-            strip(F.coalesce(attr_first(attributes(F.regexp_extract(match, TAG, 0)), "href"), F.lit(""))),
+            strip(F.coalesce(attr_first(attributes(F.regexp_extract(match, TAG, 0), decoded=False), "href"), F.lit(""))),
             lambda href: F.when(href == "", inner).otherwise(
                 F.concat(F.lit("["), inner, F.lit("]("), href, F.lit(")"))
             ),
@@ -348,7 +349,10 @@ def render_markdown(pages: DataFrame, keep_images: bool = True, max_host_repeat:
 def with_article(pages: DataFrame, max_host_repeat: int | None = None) -> DataFrame:
     """Pages whose ``blocks`` are narrowed to the article."""
     kept = with_blocks(pages).withColumn("blocks", article_blocks(F.col("blocks")))
-    return kept if max_host_repeat is None else drop_repeated(kept, max_host_repeat)
+    if max_host_repeat is None:
+        return kept
+    # the blocks are read three times from here on, so they are computed once
+    return drop_repeated(stage(kept.drop("html", "tokens")), max_host_repeat)
 
 
 def _block_key() -> Column:
