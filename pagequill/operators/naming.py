@@ -155,9 +155,12 @@ def _with_requests_before(kids: DataFrame, requests: DataFrame, taken: DataFrame
         F.lit(0).alias("one"),
         F.col("stem").alias("kid"),
     )
-    asked = requests.join(
-        kids.select(F.col("parent").alias("stem"), "ext").distinct(), NAME, "left_semi"
-    ).select(*NAME, "block", "seq", F.lit(1).alias("one"), F.lit(None).cast("string").alias("kid"))
+    # parents are matched per block of requests, so a hot name is joined once per block
+    parents = kids.select(F.col("parent").alias("stem"), "ext").distinct()
+    blocks = requests.select(*NAME, "block").distinct().join(parents, NAME, "left_semi")
+    asked = requests.join(blocks, [*NAME, "block"], "left_semi").select(
+        *NAME, "block", "seq", F.lit(1).alias("one"), F.lit(None).cast("string").alias("kid")
+    )
     counted = (
         running_total(marks.unionByName(asked), NAME, "block", ["seq"], "one", "before")
         .filter(F.col("kid").isNotNull())

@@ -25,8 +25,18 @@ NOTE_ROW = "page_id bigint, path string, action string, content string, run bigi
 _LINE_ENDS = r"[\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a small input out over all cores.
+
+    A table with at least as many splits as the cluster has cores is returned as it
+    is, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGES).parquet(path)
+    return spread(spark.read.schema(PAGES).parquet(path), "page_id")
 
 
 def read_url_list(spark: SparkSession, path: str, extra_urls: Iterable[str] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagequill.sources.tables import spread
+
 DECORATED_PAGES = r"""
 SELECT page_id, url,
   replace(replace(html, '<head>', '<head>'
@@ -110,7 +112,8 @@ _SOURCES = {"note_sources": "documents", "fetch_attempts": "events"}
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view in Spark."""
     source = _SOURCES.get(name, "pages")
-    table = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    key = {"documents": "doc_id", "events": "user_id"}.get(source, "page_id")
+    table = spread(spark.read.parquet(f"{sf_dir}/{source}.parquet"), key)
     text = VIEWS[name].replace(f"FROM {source}", "FROM {source}")
     return spark.sql(text, source=table) if "{source}" in text else spark.sql(text)
 

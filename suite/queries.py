@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pagequill.functions.text import slugify as slugify_col
 from pagequill.functions.urls import resolve_url, url_extension
 from pagequill.operators import blocks, fetchlog, media, metadata, naming, notes, outcomes, tokens
 from pagequill.plans.clip import ClipOptions, clip_pages
-from pagequill.sources.tables import read_pages
+from pagequill.sources.staging import staging_root
+from pagequill.sources.tables import read_notes, read_pages, read_url_list, spread
+from pagequill.streaming.notes import stream_notes as run_stream
 
 from .fixtures import view
 
@@ -31,6 +34,14 @@ def _decorated(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "decorated_pages")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "note_sources")
 
@@ -44,6 +55,16 @@ def pages_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("page_id", "url", F.length("html").alias("html_chars"))
 
 
+def url_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Page URLs written as text files in page order, with comments and blanks, and read as a URL list."""
+    lines = _pages(spark, sf).orderBy("page_id").select(
+        F.concat(F.lit("# page "), F.col("page_id").cast("string"), F.lit("\n\n  "), "url", F.lit(" ")).alias("value")
+    )
+    folder = _folder(spark, "urls")
+    lines.write.text(folder)
+    return read_url_list(spark, folder, ["https://first.example/", "https://first.example/"])
+
+
 def html_tokens(spark: SparkSession, sf: str) -> DataFrame:
     attrs = F.array_join(F.transform("attrs", lambda a: F.concat(a["name"], F.lit("="), a["value"])), "|")
     return tokens.html_tokens(_decorated(spark, sf)).withColumn("attrs", attrs)
@@ -67,7 +88,7 @@ def article_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_texts(spark: SparkSession, sf: str) -> DataFrame:
-    text = spark.read.parquet(f"{sf}/documents.parquet")
+    text = _documents(spark, sf)
     return text.select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
@@ -133,7 +154,7 @@ def render_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 def empty_articles(spark: SparkSession, sf: str) -> DataFrame:
     texts = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" \t\n"), F.lit(" "))).otherwise(F.col("text"))
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", texts.alias("markdown"))
+    rows = _documents(spark, sf).select("doc_id", texts.alias("markdown"))
     return outcomes.drop_empty(rows).select("doc_id", "status")
 
 
@@ -211,12 +232,12 @@ def embed_images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slugify(spark: SparkSession, sf: str) -> DataFrame:
-    text = spark.read.parquet(f"{sf}/documents.parquet")
+    text = _documents(spark, sf)
     return text.select("doc_id", slugify_col(F.col("text")).alias("slug"))
 
 
 def note_names(spark: SparkSession, sf: str) -> DataFrame:
-    text = spark.read.parquet(f"{sf}/documents.parquet")
+    text = _documents(spark, sf)
     url = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string")))
     date = F.when(F.col("doc_id") % 2 == 0, "2026-09-22").otherwise("")
     title = F.concat(F.substring("text", 1, 60), F.repeat(F.lit(" tail"), (F.col("doc_id") % 9).cast("int")))
@@ -305,12 +326,31 @@ def clip_plain(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(clip_pages(_pages(spark, sf), ClipOptions(as_of=AS_OF)))
 
 
+STREAM_PARTS = 3
+
+
+def stream_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages arriving in parts, in page order; the table holds what one batch run gives."""
+    pages = _pages(spark, sf)
+    last = pages.agg(F.max("page_id").alias("last")).scalar()
+    part = F.floor(F.col("page_id") * STREAM_PARTS / (last + 1))
+    incoming = _folder(spark, "incoming")
+    for number in range(STREAM_PARTS):
+        pages.filter(part == number).coalesce(1).write.mode("append").parquet(incoming)
+    out = _folder(spark, "notes")
+    run_stream(
+        spark, incoming, out, _folder(spark, "stream"), ClipOptions(as_of=AS_OF), files_per_batch=1
+    ).awaitTermination()
+    return read_notes(spark, out)
+
+
 def _flat(result: DataFrame) -> DataFrame:
     return result.select("page_id", "url", "title", "path", "action", "status", "exit_code", "content")
 
 
 QUERIES: dict[str, Query] = {
     "read_pages": pages_scan,
+    "url_list": url_list,
     "decode_pages": decode_pages,
     "validate_urls": validate_urls,
     "blocked_hosts": blocked_hosts,
@@ -369,4 +409,5 @@ QUERIES: dict[str, Query] = {
     "batch_summary": batch_summary,
     "clip_pages": clip,
     "clip_pages_plain": clip_plain,
+    "stream_notes": stream_notes,
 }
