@@ -6,8 +6,9 @@ Everything here builds native Spark expressions; nothing runs Python per row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Unicode word and white-space classes: Java's own \w and \s are ASCII only.
@@ -19,6 +20,25 @@ LINE_SPACE = r"\p{Z}\t\x0B\f\r\x1C-\x1F\x85"
 _SCAN_CHUNK = 64
 
 
+def cached_column(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a large expression once per Spark application.
+
+    Expressions name their columns and are not bound to a table, so one can be used
+    in any number of queries; a streaming batch then does not build it again.
+    """
+    built: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def get(*args) -> Column:
+        session = SparkSession.getActiveSession()
+        key = (session.sparkContext.applicationId if session else None, *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it as often as needed in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

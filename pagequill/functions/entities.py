@@ -50,22 +50,20 @@ def code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+# Control characters and non-characters: a numeric reference to one of them gives nothing.
+_DROPPED = (
+    r"[\x01-\x08\x0B\x0E-\x1F\x7F\uFDD0-\uFDEF"
+    + "".join(rf"\x{{{plane:X}FFFE}}\x{{{plane:X}FFFF}}" for plane in range(17))
+    + "]"
+)
+
+
 def _character(n: Column) -> Column:
     """Text for a numeric reference; null ``n`` means out of range."""
-    low = n % 0x10000
-    dropped = (
-        n.between(0x1, 0x8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F)
-        | n.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
-    )
-    return (
-        F.when(n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(REPLACEMENT))
-        .when(
-            n.between(0x80, 0x9F),
-            F.translate(code_point(n), "".join(c for c, _ in _C1), "".join(c for _, c in _C1)),
-        )
-        .when(dropped, F.lit(""))
-        .otherwise(code_point(n))
-    )
+    shown = F.regexp_replace(code_point(n), _DROPPED, "")
+    return F.when(
+        n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(REPLACEMENT)
+    ).otherwise(F.translate(shown, "".join(c for c, _ in _C1), "".join(c for _, c in _C1)))
 
 
 def _numeric(ref: Column) -> Column:

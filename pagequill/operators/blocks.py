@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import SPACE, is_blank, let, rewrite_matches, scan, strip, tidy
+from ..functions.core import SPACE, cached_column, is_blank, let, rewrite_matches, scan, strip, tidy
 from ..functions.entities import decode_entities
 from ..functions.html import BLOCK_TAGS, TAG, attr_first, attr_last, attributes
 from ..functions.urls import url_host
@@ -39,8 +39,10 @@ _MATH_SPAN = r"(?i)<span\s+class\s*=\s*[\"']math[\"']>"
 _KEPT = "mark|del|s|strike|math"
 
 
-def block_array(tokens: Column) -> Column:
+@cached_column
+def block_array(column: str = "tokens") -> Column:
     """ARRAY<STRUCT<block_id, tag, region, depth, ordered, quote, text, inline, words, link_words>>."""
+    tokens = F.col(column)
     start = F.struct(F.lit("start").alias("kind"), F.lit("").alias("tag"), F.lit("").alias("raw"))
 
     def from_segments(segments: Column) -> Column:
@@ -140,7 +142,7 @@ def _next_place(g: Column, t: Column) -> Column:
 
 
 def _has_class(raw: Column, classes: tuple[str, ...]) -> Column:
-    value = F.lower(F.coalesce(attr_first(attributes(raw), "class"), F.lit("")))
+    value = F.lower(F.coalesce(attr_first(attributes(raw, decoded=False), "class"), F.lit("")))
     return F.when(
         raw.contains("="), F.arrays_overlap(F.split(value, f"[{SPACE}]+"), F.array(*[F.lit(c) for c in classes]))
     ).otherwise(False)
@@ -161,27 +163,26 @@ def _block(item: Column) -> Column:
             g["list"].alias("depth"),
             (g["ordered"] > 0).alias("ordered"),
             g["quote"].alias("quote"),
-            x["text"].alias("text"),
+            x[0].alias("text"),
             inline.alias("inline"),
-            word_count(x["text"]).alias("words"),
-            word_count(x["links"]).alias("link_words"),
+            word_count(x[0]).alias("words"),
+            word_count(x[1]).alias("link_words"),
         )
 
-    texts = F.struct(
-        tidy(decode_entities(F.when(has_tags, plain_text(inline)).otherwise(inline))).alias("text"),
-        F.when(has_tags, tidy(decode_entities(link_text(inline)))).otherwise("").alias("links"),
+    raw = F.array(
+        F.when(has_tags, plain_text(inline)).otherwise(inline), F.when(has_tags, link_text(inline)).otherwise("")
     )
-    return let(texts, finish)
+    return let(F.transform(raw, lambda x: tidy(decode_entities(x))), finish)
 
 
 def block_markdown(b: Column, keep_images: bool) -> Column:
     """Markdown of a block's inline HTML, without its list mark, heading or quote frame."""
     inline = b["inline"] if keep_images else F.regexp_replace(b["inline"], _IMAGE, "")
-    return (
-        F.when(b["tag"] == "pre", decode_entities(plain_text(inline)))
-        .when(inline.contains("<"), tidy(decode_entities(inline_markdown(inline))))
-        .otherwise(b["text"])
-    )
+    pre = b["tag"] == "pre"
+    shown = decode_entities(F.when(pre, plain_text(inline)).otherwise(inline_markdown(inline)))
+    return F.when(
+        pre | inline.contains("<"), let(shown, lambda x: F.when(pre, x).otherwise(tidy(x)))
+    ).otherwise(b["text"])
 
 
 def plain_text(inline: Column) -> Column:
@@ -243,7 +244,8 @@ def is_dense(block: Column) -> Column:
     return (block["words"] >= MIN_WORDS) & (block["link_words"] / F.greatest(block["words"], F.lit(1)) < MAX_LINK_SHARE)
 
 
-def article_blocks(blocks: Column) -> Column:
+@cached_column
+def article_blocks(column: str = "blocks") -> Column:
     """Article and main blocks when the page has any, else dense blocks with their headings."""
 
     def pick(all_blocks: Column) -> Column:
@@ -262,10 +264,11 @@ def article_blocks(blocks: Column) -> Column:
 
         return F.when(F.size(marked) > 0, marked).otherwise(let(body, dense))
 
-    return let(blocks, pick)
+    return let(F.col(column), pick)
 
 
-def render(blocks: Column, keep_images: bool = True) -> Column:
+@cached_column
+def render(keep_images: bool = True, column: str = "blocks") -> Column:
     """Base Markdown of a block array; blocks are parted by a blank line, list items and rows by one line feed."""
 
     def one(items: Column) -> Column:
@@ -309,13 +312,13 @@ def render(blocks: Column, keep_images: bool = True) -> Column:
 
         return F.array_join(F.transform(items, block), "")
 
-    return let(blocks, one)
+    return let(F.col(column), one)
 
 
 def with_blocks(pages: DataFrame) -> DataFrame:
     if "blocks" in pages.columns:
         return pages
-    return with_tokens(pages).withColumn("blocks", block_array(F.col("tokens")))
+    return with_tokens(pages).withColumn("blocks", block_array())
 
 
 def _block_rows(blocks: DataFrame) -> DataFrame:
@@ -343,12 +346,12 @@ def main_blocks(pages: DataFrame, max_host_repeat: int | None = None) -> DataFra
 
 def render_markdown(pages: DataFrame, keep_images: bool = True, max_host_repeat: int | None = None) -> DataFrame:
     kept = with_article(pages, max_host_repeat)
-    return kept.select("page_id", "url", render(F.col("blocks"), keep_images).alias("markdown"))
+    return kept.select("page_id", "url", render(keep_images).alias("markdown"))
 
 
 def with_article(pages: DataFrame, max_host_repeat: int | None = None) -> DataFrame:
     """Pages whose ``blocks`` are narrowed to the article."""
-    kept = with_blocks(pages).withColumn("blocks", article_blocks(F.col("blocks")))
+    kept = with_blocks(pages).withColumn("blocks", article_blocks())
     if max_host_repeat is None:
         return kept
     # the blocks are read three times from here on, so they are computed once

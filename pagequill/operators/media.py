@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let, rewrite_matches, starts_with_any, strip, tidy
+from ..functions.core import cached_column, let, rewrite_matches, starts_with_any, strip, tidy
 from ..functions.entities import decode_entities
 from ..functions.html import attr_first, attr_last, attributes, is_open
 from ..functions.markdown import ABSOLUTE_PREFIXES, IMG_TAG, LINK, link_parts
@@ -19,8 +19,10 @@ from .tokens import with_tokens
 PAGES_PER_BLOCK = 4_096
 
 
-def image_array(tokens: Column) -> Column:
+@cached_column
+def image_array(column: str = "tokens") -> Column:
     """ARRAY<STRUCT<pos, src, alt, width, height>>; a repeated attribute keeps its last value."""
+    tokens = F.col(column)
     found = F.filter(
         F.transform(tokens, lambda t, i: F.when(is_open(t, "img"), F.struct(i.alias("pos"), t["raw"].alias("raw")))),
         lambda x: x.isNotNull(),
@@ -48,7 +50,7 @@ def page_images(pages: DataFrame) -> DataFrame:
     """One row per image of a page."""
     return (
         with_tokens(pages)
-        .select("page_id", "url", F.explode(image_array(F.col("tokens"))).alias("image"))
+        .select("page_id", "url", F.explode(image_array()).alias("image"))
         .select("page_id", "url", "image.*")
     )
 
@@ -63,7 +65,8 @@ def link_class(href: Column) -> Column:
     )
 
 
-def link_array(tokens: Column) -> Column:
+@cached_column
+def link_array(column: str = "tokens") -> Column:
     """ARRAY<STRUCT<pos, text, href>>; an anchor ends at its close or at the next anchor."""
 
     def cut(tokens: Column) -> Column:
@@ -96,7 +99,7 @@ def link_array(tokens: Column) -> Column:
             lambda m: F.zip_with(m, F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), anchor),
         )
 
-    return F.filter(let(tokens, cut), lambda x: x["href"].isNotNull())
+    return F.filter(let(F.col(column), cut), lambda x: x["href"].isNotNull())
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     href = F.col("link")["href"]
     return (
         with_tokens(pages)
-        .select("page_id", "url", F.explode(link_array(F.col("tokens"))).alias("link"))
+        .select("page_id", "url", F.explode(link_array()).alias("link"))
         .select(
             "page_id",
             F.col("link")["pos"].alias("pos"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import let, strip
+from ..functions.core import cached_column, let, strip
 from ..functions.entities import decode_entities
 from ..functions.html import BLOCK_TAGS, attr_first, attributes, first_index, is_open, text_until
 from ..functions.text import clean_text, keyword_tags, parse_date
@@ -61,7 +61,10 @@ def article_title(tokens: Column, og_title: Column) -> Column:
     )
 
 
-def metadata_struct(tokens: Column, metas: Column) -> Column:
+@cached_column
+def metadata_struct() -> Column:
+    """Metadata of a row with ``tokens`` and ``metas``."""
+    tokens, metas = F.col("tokens"), F.col("metas")
     og_title = clean_text(_content(metas, ("property", "og:title")))
     first_author = _content(metas, ("name", "author"), ("property", "article:author"))
     published = parse_date(
@@ -95,8 +98,8 @@ def with_metadata(pages: DataFrame) -> DataFrame:
     """Add a ``meta`` struct column; narrow, nothing is shuffled."""
     return (
         with_tokens(pages)
-        .withColumn("metas", meta_array(F.col("tokens")))
-        .withColumn("meta", metadata_struct(F.col("tokens"), F.col("metas")))
+        .withColumn("metas", meta_array())
+        .withColumn("meta", metadata_struct())
         .drop("metas")
     )
 

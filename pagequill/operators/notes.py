@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.core import lines_of
+from ..functions.core import cached_column, lines_of
 from ..functions.frontmatter import frontmatter as frontmatter_struct
 from ..functions.frontmatter import frontmatter_yaml
 
@@ -28,12 +28,17 @@ def convert(
     notes: DataFrame, link_format: str = "wikilink", block_ids: bool = False, base: str | None = "url"
 ) -> DataFrame:
     """Run every rewriting step over ``markdown``, one projection per step and no shuffle."""
-    base_url = F.col(base) if base else None
-    for step in md.convert_steps(base_url, link_format, block_ids):
-        notes = notes.withColumn("markdown", step(F.col("markdown")))
+    for number in range(len(md.convert_steps(None, link_format, block_ids)) + bool(base)):
+        notes = notes.withColumn("markdown", _step_column(number, link_format, block_ids, base))
     return notes
 
 
+@cached_column
+def _step_column(number: int, link_format: str, block_ids: bool, base: str | None) -> Column:
+    steps = md.convert_steps(F.col(base) if base else None, link_format, block_ids)
+    return steps[number](F.col("markdown"))
+
+
 def with_frontmatter(articles: DataFrame, as_of: str) -> DataFrame:
     """Add ``frontmatter`` to rows with ``url`` and a ``meta`` struct."""
     meta = F.col("meta")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import cached_column
 from ..functions.html import attr_first, attributes, inner_text, is_open, token_array
 
 
@@ -12,7 +13,12 @@ def with_tokens(pages: DataFrame) -> DataFrame:
     """Add the token array of each page; a no-op when it is already there."""
     if "tokens" in pages.columns:
         return pages
-    return pages.withColumn("tokens", token_array(F.coalesce("html", F.lit(""))))
+    return pages.withColumn("tokens", _tokens_column())
+
+
+@cached_column
+def _tokens_column() -> Column:
+    return token_array(F.coalesce("html", F.lit("")))
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
@@ -33,8 +39,10 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     )
 
 
-def meta_array(tokens: Column) -> Column:
+@cached_column
+def meta_array(column: str = "tokens") -> Column:
     """ARRAY<STRUCT<pos, name, property, itemprop, content>> of the meta elements, in order."""
+    tokens = F.col(column)
     found = F.filter(
         F.transform(tokens, lambda t, i: F.when(is_open(t, "meta"), F.struct(i.alias("pos"), t["raw"].alias("raw")))),
         lambda m: m.isNotNull(),
@@ -62,7 +70,7 @@ def meta_tags(pages: DataFrame) -> DataFrame:
     )
     return (
         with_tokens(pages)
-        .select("page_id", F.explode(meta_array(F.col("tokens"))).alias("meta"))
+        .select("page_id", F.explode(meta_array()).alias("meta"))
         .select("page_id", "meta", F.explode(keyed).alias("keyed"))
         .select(
             "page_id",

@@ -42,9 +42,9 @@ class ClipOptions:
 def articles(pages: DataFrame, options: ClipOptions) -> DataFrame:
     """Pages -> (page_id, url, meta, markdown, images): narrow, no shuffle."""
     described = with_metadata(pages)
-    columns = ["page_id", "url", "meta", render(F.col("blocks"), options.images != "skip").alias("markdown")]
+    columns = ["page_id", "url", "meta", render(options.images != "skip").alias("markdown")]
     if options.images == "download":
-        described = described.withColumn("images", image_array(F.col("tokens")))
+        described = described.withColumn("images", image_array())
         columns.append("images")
     return with_article(described, options.max_host_repeat).select(*columns)
 
