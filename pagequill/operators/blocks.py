@@ -358,8 +358,14 @@ def with_article(pages: DataFrame, max_host_repeat: int | None = None) -> DataFr
     return drop_repeated(stage(kept.drop("html", "tokens")), max_host_repeat)
 
 
-def _block_key() -> Column:
-    return F.md5(F.col("b")["text"].cast("binary"))
+def _block_keys(host_pages: DataFrame) -> DataFrame:
+    """(page_id, host, key): the distinct block texts of each page, as hashes."""
+    keys = F.array_distinct(F.transform("blocks", _text_key))
+    return host_pages.select("page_id", url_host(F.col("url")).alias("host"), F.explode(keys).alias("key"))
+
+
+def _text_key(block: Column) -> Column:
+    return F.md5(block["text"].cast("binary"))
 
 
 def repeated_blocks(pages: DataFrame, max_host_repeat: int) -> DataFrame:
@@ -368,10 +374,8 @@ def repeated_blocks(pages: DataFrame, max_host_repeat: int) -> DataFrame:
     A text counts once per page; the page removes its own doubles first, so the
     count is a plain sum with map-side combining and no distinct shuffle.
     """
-    keys = F.array_distinct(F.transform("blocks", lambda b: F.md5(b["text"].cast("binary"))))
     return (
-        with_blocks(pages)
-        .select(url_host(F.col("url")).alias("host"), F.explode(keys).alias("key"))
+        _block_keys(with_blocks(pages))
         .groupBy("host", "key")
         .agg(F.count("*").alias("n_pages"))
         .filter(F.col("n_pages") > max_host_repeat)
@@ -385,26 +389,20 @@ HEAVY_KEYS = 10_000
 def drop_repeated(pages: DataFrame, max_host_repeat: int) -> DataFrame:
     """Remove repeated blocks from each page's array; pages keep their row even when nothing is left.
 
-    A key that holds over 1/10,000 of all block rows is broadcast: there can be no
-    more than 10,000 of those. All others are joined by shuffle, where no key is hot.
+    Only hashes travel: the texts move once, when the pages meet their own dropped keys.
+    A key that holds over 1/10,000 of all key rows is broadcast: there can be no more
+    than 10,000 of those. All others are joined by shuffle, where no key is hot.
     """
     repeated = repeated_blocks(pages, max_host_repeat)
-    total = pages.select(F.size("blocks").alias("n")).agg(F.sum("n").alias("n_blocks"))
-    heavy_from = total.select(F.col("n_blocks") / HEAVY_KEYS).scalar()
+    keys = _block_keys(pages)
+    heavy_from = keys.agg((F.count("*") / HEAVY_KEYS).alias("n")).scalar()
     heavy = repeated.filter(F.col("n_pages") > heavy_from).select("host", "key")
     light = repeated.filter(F.col("n_pages") <= heavy_from).select("host", "key")
-    rows = pages.select(
-        "page_id", url_host(F.col("url")).alias("host"), F.explode("blocks").alias("b")
-    ).withColumn("key", _block_key())
-    kept = (
-        rows.join(F.broadcast(heavy), ["host", "key"], "left_anti")
-        .join(light, ["host", "key"], "left_anti")
+    dropped = (
+        keys.join(F.broadcast(heavy), ["host", "key"], "left_semi")
+        .unionByName(keys.join(light, ["host", "key"], "left_semi"))
         .groupBy("page_id")
-        .agg(F.array_sort(F.collect_list("b")).alias("kept_blocks"))
-    )
-    empty = F.slice(F.col("blocks"), 1, 0)
-    return (
-        pages.join(kept, "page_id", "left")
-        .withColumn("blocks", F.coalesce("kept_blocks", empty))
-        .drop("kept_blocks")
+        .agg(F.collect_list("key").alias("dropped"))
     )
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("dropped", _text_key(b)), F.lit(False)))
+    return pages.join(dropped, "page_id", "left").withColumn("blocks", kept).drop("dropped")
