@@ -27,6 +27,10 @@ MIN_WORDS = 10
 
 _COUNTERS = ("article", "main", "nav", "header", "footer", "aside", "form", "head", "div", "list", "quote")
 _LISTS = ("ul", "ol")
+# Tags that change what is around a block; all others only start a new one.
+_ENCLOSING = (
+    "article", "main", "nav", "header", "footer", "aside", "form", "head", "body", "div", "ul", "ol", "blockquote",
+)
 
 _NAME_END = r"(?=[ \t\n\f\r/>])"
 _REST = r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
@@ -91,10 +95,9 @@ def _first_place() -> Column:
     return F.struct(
         F.lit(-1).alias("block"),
         F.lit("").alias("tag"),
-        F.lit("body").alias("region"),
-        *[zero.alias(c) for c in _COUNTERS],
-        zero.alias("ad"),
-        zero.alias("ordered"),
+        F.struct(
+            F.lit("body").alias("region"), *[zero.alias(c) for c in (*_COUNTERS, "ad", "ordered")]
+        ).alias("around"),
     )
 
 
@@ -106,7 +109,20 @@ def _region(counts: Column) -> Column:
 
 
 def _next_place(g: Column, t: Column) -> Column:
-    """Place after a block-level tag: a new block, adjusted depths, the region they give."""
+    """Place after a block-level tag: a new block and, for tags that enclose blocks, what is around it now."""
+    opens = t["kind"] == "open"
+    return F.struct(
+        (g["block"] + 1).alias("block"),
+        F.when((t["tag"] == "p") & opens & (g["tag"] == "li"), F.lit("li"))
+        .when(opens, t["tag"])
+        .otherwise("")
+        .alias("tag"),
+        F.when(t["tag"].isin(*_ENCLOSING), _next_around(g["around"], t)).otherwise(g["around"]).alias("around"),
+    )
+
+
+def _next_around(g: Column, t: Column) -> Column:
+    """Depths after an enclosing tag, held at zero, and the region they give."""
     opens, closes = t["kind"] == "open", t["kind"] == "close"
 
     def depth(name: str) -> Column:
@@ -122,22 +138,14 @@ def _next_place(g: Column, t: Column) -> Column:
         .when(opens & (g["ad"] == 0), F.when(_has_class(t["raw"], AD_CLASSES), g["div"] + 1).otherwise(0))
         .otherwise(g["ad"]),
     ).otherwise(g["ad"])
+    counts["ordered"] = (
+        F.when((t["tag"] == "ol") & opens, g["list"] + 1)
+        .when(t["tag"].isin(*_LISTS), F.lit(0))
+        .otherwise(g["ordered"])
+    )
     return let(
         F.struct(*[value.alias(name) for name, value in counts.items()]),
-        lambda c: F.struct(
-            (g["block"] + 1).alias("block"),
-            F.when((t["tag"] == "p") & opens & (g["tag"] == "li"), F.lit("li"))
-            .when(opens, t["tag"])
-            .otherwise("")
-            .alias("tag"),
-            _region(c).alias("region"),
-            *[c[name].alias(name) for name in _COUNTERS],
-            c["ad"].alias("ad"),
-            F.when((t["tag"] == "ol") & opens, g["list"] + 1)
-            .when(t["tag"].isin(*_LISTS), F.lit(0))
-            .otherwise(g["ordered"])
-            .alias("ordered"),
-        ),
+        lambda c: F.struct(_region(c).alias("region"), *[c[name].alias(name) for name in counts]),
     )
 
 
@@ -150,6 +158,7 @@ def _has_class(raw: Column, classes: tuple[str, ...]) -> Column:
 
 def _block(item: Column) -> Column:
     g, inline = item["g"], item["inline"]
+    around = g["around"]
     has_tags = inline.contains("<")
 
     def word_count(text: Column) -> Column:
@@ -159,10 +168,10 @@ def _block(item: Column) -> Column:
         return F.struct(
             g["block"].alias("block_id"),
             g["tag"].alias("tag"),
-            g["region"].alias("region"),
-            g["list"].alias("depth"),
-            (g["ordered"] > 0).alias("ordered"),
-            g["quote"].alias("quote"),
+            around["region"].alias("region"),
+            around["list"].alias("depth"),
+            (around["ordered"] > 0).alias("ordered"),
+            around["quote"].alias("quote"),
             x[0].alias("text"),
             inline.alias("inline"),
             word_count(x[0]).alias("words"),
@@ -172,7 +181,7 @@ def _block(item: Column) -> Column:
     raw = F.array(
         F.when(has_tags, plain_text(inline)).otherwise(inline), F.when(has_tags, link_text(inline)).otherwise("")
     )
-    return let(F.transform(raw, lambda x: tidy(decode_entities(x))), finish)
+    return let(F.transform(raw, lambda x: F.when(x != "", tidy(decode_entities(x))).otherwise(x)), finish)
 
 
 def block_markdown(b: Column, keep_images: bool) -> Column:

@@ -50,7 +50,12 @@ def with_frontmatter(articles: DataFrame, as_of: str) -> DataFrame:
 
 
 def with_yaml(notes: DataFrame) -> DataFrame:
-    return notes.withColumn("frontmatter_yaml", frontmatter_yaml(F.col("frontmatter")))
+    return notes.withColumn("frontmatter_yaml", _yaml_column())
+
+
+@cached_column
+def _yaml_column() -> Column:
+    return frontmatter_yaml(F.col("frontmatter"))
 
 
 def compose_notes(notes: DataFrame, include_frontmatter: bool = True) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import is_blank
+from ..functions.core import cached_column, is_blank
 from ..functions.text import note_name
 from ..operators.blocks import render, with_article
 from ..operators.media import embed_images, image_array, plan_attachments
@@ -63,9 +63,13 @@ def finish(found: DataFrame, options: ClipOptions) -> DataFrame:
     """Rewrite texts and add names and properties: narrow, no shuffle."""
     empty = is_blank(F.col("markdown"))
     notes = convert(found.withColumn("blank", empty), options.link_format, options.block_ids)
+    return with_yaml(with_frontmatter(notes, options.as_of)).withColumn("name", _name_column(options.date_prefix))
+
+
+@cached_column
+def _name_column(date_prefix: bool) -> Column:
     title = F.coalesce(F.nullif(F.col("meta")["title"], F.lit("")), F.lit("untitled"))
-    name = note_name(title, F.col("url"), F.col("meta")["date"], options.date_prefix)
-    return with_yaml(with_frontmatter(notes, options.as_of)).withColumn("name", name)
+    return note_name(title, F.col("url"), F.col("meta")["date"], date_prefix)
 
 
 def clip_pages(
