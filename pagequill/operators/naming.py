@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..sources.staging import stage
-from .running import BLOCK_ROWS, block_of, carry, running_total
+from .running import block_of, carry, join_by_block, running_total
 
 CONFLICT_MODES = ("suffix", "overwrite", "skip")
 NAME = ["stem", "ext"]
+PARENT = ["parent", "ext"]
 
 # A tail a suffix counter can produce: 2, 3, ... without leading zeros.
 _TAIL = r"^([\s\S]*)-([2-9]|[1-9][0-9]{1,17})$"
@@ -117,7 +118,7 @@ def _tail_number(stem: Column) -> Column:
 def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
     """Distinct names ``x-k`` (asked for or taken) whose parent ``x`` may overflow.
 
-    Columns: stem, ext, parent, k, cat, first_seq, first_block.
+    Columns: stem, ext, parent, k, k_block, cat, first_seq, first_block.
     """
     has_tail = F.col("stem").rlike(_TAIL)
     asked = (
@@ -129,6 +130,7 @@ def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
         *NAME,
         _tail_parent(F.col("stem")).alias("parent"),
         _tail_number(F.col("stem")).alias("k"),
+        block_of(_tail_number(F.col("stem"))).alias("k_block"),
         F.coalesce("cat", F.lit(False)).alias("cat"),
         "first_seq",
         "first_block",
@@ -140,8 +142,8 @@ def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
         .filter((F.col("n") > 1) | F.col("cat") | has_tail)
         .select(F.col("stem").alias("parent"), "ext")
     )
-    return kids.join(parents, ["parent", "ext"], "left_semi").select(
-        *NAME, "parent", "k", "cat", "first_seq", "first_block"
+    return join_by_block(kids, parents, PARENT, "k_block", "inner").select(
+        *NAME, "parent", "k", "k_block", "cat", "first_seq", "first_block"
     )
 
 
@@ -168,12 +170,12 @@ def _with_requests_before(kids: DataFrame, requests: DataFrame, taken: DataFrame
     )
     parent_cat = taken.select(F.col("stem").alias("parent"), "ext", F.col("cat").alias("parent_cat"))
     return (
-        kids.join(counted, NAME, "left")
-        .join(parent_cat, ["parent", "ext"], "left")
+        join_by_block(kids.join(counted, NAME, "left"), parent_cat, PARENT, "k_block")
         .select(
             *NAME,
             "parent",
             "k",
+            "k_block",
             "cat",
             F.coalesce("before", F.lit(0)).alias("before"),
             F.coalesce("parent_cat", F.lit(False)).alias("parent_cat"),
@@ -192,16 +194,11 @@ def _settle(kids: DataFrame) -> DataFrame:
         own = state.select(
             F.col("stem").alias("parent"), "ext", F.when(F.col("held") & ~F.col("cat"), 1).otherwise(0).alias("own")
         )
-        joined = state.join(own, ["parent", "ext"], "left").withColumn(
+        joined = join_by_block(state, own, PARENT, "k_block").withColumn(
             "parent_own", F.coalesce("own", F.when(F.col("parent_cat"), 0).otherwise(1))
         )
         summed = running_total(
-            joined.withColumn("k_block", block_of(F.col("k"))).withColumn("one", F.col("held").cast("bigint")),
-            ["parent", "ext"],
-            "k_block",
-            ["k"],
-            "one",
-            "upto",
+            joined.withColumn("one", F.col("held").cast("bigint")), PARENT, "k_block", ["k"], "one", "upto"
         )
         overflow = F.greatest(F.col("before") - F.col("parent_own"), F.lit(0))
         held = F.col("cat") | (overflow + F.col("upto") - F.col("one") < F.col("k") - 1)
@@ -218,7 +215,7 @@ def _suffixed(requests: DataFrame, taken: DataFrame) -> DataFrame:
     if any_contested:
         settled = _settle(_with_requests_before(contested, requests, taken))
         lost = lost.unionByName(settled.filter(~F.col("held")).select(*NAME, F.lit(True).alias("lost"))).distinct()
-        held = settled.filter("held").select(F.col("parent").alias("stem"), "ext", "k")
+        held = settled.filter("held").select(F.col("parent").alias("stem"), "ext", "k", "k_block")
         parents = held.select(*NAME).distinct().withColumn("crowded", F.lit(True))
         ranked = _ranked(requests, lost, parents)
     else:
@@ -249,7 +246,7 @@ def _around_held(crowded: DataFrame, held: DataFrame) -> DataFrame:
     j + 1 plus the count of held ones with fewer than j free ones before them.
     """
     placed = running_total(
-        held.withColumn("k_block", block_of(F.col("k"))).withColumn("one", F.lit(1)),
+        held.withColumn("one", F.lit(1)),
         NAME,
         "k_block",
         ["k"],

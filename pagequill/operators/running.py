@@ -37,5 +37,11 @@ def carry(sums: DataFrame, keys: list[str], block: str) -> DataFrame:
     )
 
 
+def join_by_block(rows: DataFrame, facts: DataFrame, keys: list[str], block: str, how: str = "left") -> DataFrame:
+    """Join one fact row per key to many rows of that key, a hot key once per block."""
+    per_block = rows.select(*keys, block).distinct().join(facts, keys, how)
+    return rows.join(per_block, [*keys, block], how)
+
+
 def block_of(order: Column) -> Column:
     return F.floor(order / BLOCK_ROWS).cast("bigint")
