@@ -240,7 +240,7 @@ def note_names(spark: SparkSession, sf: str) -> DataFrame:
     text = _documents(spark, sf)
     url = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string")))
     date = F.when(F.col("doc_id") % 2 == 0, "2026-09-22").otherwise("")
-    title = F.concat(F.substring("text", 1, 60), F.repeat(F.lit(" tail"), (F.col("doc_id") % 9).cast("int")))
+    title = F.concat(F.substring_index("text", ".", 1), F.repeat(F.lit(" tail"), (F.col("doc_id") % 9).cast("int")))
     return text.select("doc_id", note_name(title, url, date, date_prefix=True).alias("name"))
 
 
