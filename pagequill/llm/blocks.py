@@ -15,6 +15,8 @@ from pagequill.llm.packing import pack, unpack
 from pagequill.llm.staging import ship, stage
 
 BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = 1 << 20
+ROW_BITS = 24
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "block long, n_bytes long, n_rows long, ids binary, body binary"
 
@@ -28,26 +30,27 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
-    size = number = 0
+    size = rows = number = 0
     for batch in batches:
         at = 0
         lengths = np.cumsum(pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < batch.num_rows:  # a block ends with the text that fills it
             done = lengths[at - 1] if at else 0
-            to = min(batch.num_rows, int(np.searchsorted(lengths, done + BLOCK_BYTES - size)) + 1)
+            to = min(batch.num_rows, at + BLOCK_ROWS - rows, int(np.searchsorted(lengths, done + BLOCK_BYTES - size)) + 1)
             held.append(batch.slice(at, to - at))
             size += int(lengths[to - 1] - done)
+            rows += to - at
             at = to
-            if size >= BLOCK_BYTES:
+            if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
                 yield _block(held, number)
-                held, size, number = [], 0, number + 1
+                held, size, rows, number = [], 0, 0, number + 1
     if held:
         yield _block(held, number)
 
 
 def _block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     table = pa.Table.from_batches(held)
-    name = (table.column("part")[0].as_py() << 32) | number
+    name = (table.column("part")[0].as_py() << 16) | number
     ids = table.column("id").fill_null(NO_ID).to_numpy()
     data = table.column("text").cast(pa.large_binary()).fill_null(b"").combine_chunks()
     lengths = pc.binary_length(data).to_numpy().astype(np.int64)
@@ -67,7 +70,7 @@ def _block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
 
 
 def open_block(ids: bytes, body: bytes) -> tuple[np.ndarray, pa.Array]:
-    """The ids and the texts (as large binaries) of a block."""
+    """The ids and the texts (as large binaries) of a block. A row is named by ``block << ROW_BITS | place``."""
     steps, lengths = unpack(ids)
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     data = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(zstandard.decompress(body))])

@@ -121,7 +121,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     out, rows = spans[keep], words.rows()[: len(spans)][keep]
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     if len(short):
-        whole = np.array([window_hashes(hashes[words.first[i] : words.first[i + 1]], words.counts[i])[0] for i in short], np.uint64)
+        whole = np.array([window_hashes(hashes[words.first[i] : words.first[i + 1]], int(words.counts[i]))[0] for i in short], np.uint64)
         out, rows = np.concatenate([out, whole]), np.concatenate([rows, short])
         order = np.argsort(rows, kind="stable")
         out, rows = out[order], rows[order]
