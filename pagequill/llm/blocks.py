@@ -18,13 +18,16 @@ BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 1 << 20
 ROW_BITS = 24
 NO_ID = np.iinfo(np.int64).min
-SCHEMA = "block long, n_bytes long, n_rows long, ids binary, body binary"
+SCHEMA = "block long, n_bytes long, n_rows long, ids binary, body binary, others binary"
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(block, n_bytes, n_rows, ids, body)``, staged. Null ids are kept as the smallest long, null texts as empty."""
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None) -> DataFrame:
+    """``(block, n_bytes, n_rows, ids, body, others)``, staged. Null ids are kept as the smallest long, null texts as empty.
+
+    ``others`` names columns whose values are to stay with the rows.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"), *[F.col(c).alias(f"other_{k}") for k, c in enumerate(others or [])])
     return stage(rows.mapInArrow(_cut, SCHEMA))
 
 
@@ -64,8 +67,9 @@ def _block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
             pa.array([len(ids)], pa.int64()),
             pa.array([pack(np.diff(ids, prepend=np.int64(0)), lengths)], pa.binary()),
             pa.array([zstandard.compress(body, 3)], pa.binary()),
+            pa.array([_packed(table.select([c for c in table.column_names if c.startswith("other_")]))], pa.binary()),
         ],
-        ["block", "n_bytes", "n_rows", "ids", "body"],
+        ["block", "n_bytes", "n_rows", "ids", "body", "others"],
     )
 
 
@@ -75,3 +79,22 @@ def open_block(ids: bytes, body: bytes) -> tuple[np.ndarray, pa.Array]:
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     data = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(zstandard.decompress(body))])
     return np.cumsum(steps), data
+
+
+def _packed(table: pa.Table) -> bytes | None:
+    if not table.num_columns:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 3)
+
+
+def other_columns(others: bytes) -> list[pa.ChunkedArray]:
+    """The columns kept with a block's rows, in the order they were named."""
+    return pa.ipc.open_stream(zstandard.decompress(others)).read_all().columns
+
+
+def rows_of(blocks: DataFrame, marks: DataFrame, function, schema, columns: tuple[str, ...] = ("ids", "body", "others")) -> DataFrame:
+    """``function(block, marks)`` as tables for every block, with the marks that name it."""
+    return blocks.select("block", *columns).groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(function, schema)

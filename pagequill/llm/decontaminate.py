@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ class Items:
     """The fingerprints of benchmark items by size class, with the lookup of each block."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        part = next(iter(texts(pa.array([t for _, t in rows], pa.string()), 1 << 62)))
+        column = pa.array([t for _, t in rows], pa.string())
+        part = next(texts(column, 1 << 62), Texts(0, 0, np.empty(0, np.uint8), np.zeros(1, np.int64)))
         words = Words(part, SPLIT)
         hashes = words.hashes()
         self.ids, self.shingles, self.sizes = [], [], []
@@ -120,20 +122,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     each give their rows. Items are the stated query set: they are taken in blocks of ``ITEMS_A_PASS``, each of which
     goes to all executors and meets all rows. Other columns are ignored.
     """
-    ship(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(item_text_col).alias("text")).where("text is not null").distinct()
-    parts = max(1, -(-items.count() // ITEMS_A_PASS))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text"))
     found = None
-    for k in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        known = Items(sorted((r for r in map(tuple, chosen.collect())), key=lambda r: (r[0] is None, r)))
-        held = docs.sparkSession.sparkContext.broadcast(known)
+    for held in _item_blocks(benchmark, item_col, item_text_col):
         more = rows.mapInArrow(lambda b, h=held: _search(b, h.value), SCHEMA)
         found = more if found is None else found.union(more)
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` into which no benchmark item leaks, with all their columns."""
+    for held in _item_blocks(benchmark, item_col, item_text_col):
+        lower = docs.withColumn("llm_lower", F.lower(text_col))
+        docs = lower.mapInArrow(lambda b, h=held: _clean(b, h.value), docs.schema)
+    return docs
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[Broadcast]:
+    spark = benchmark.sparkSession
+    ship(spark)
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.lower(text_col).alias("text")).where("text is not null").distinct()
+    parts = max(1, -(-items.count() // ITEMS_A_PASS))
+    out = []
+    for k in range(parts):
+        chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
+        rows = sorted((tuple(r) for r in chosen.collect()), key=lambda r: (r[0] is not None, r))
+        out.append(spark.sparkContext.broadcast(Items(rows)))
+    return out
+
+
+def _clean(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for part in texts(batch.column("llm_lower"), 1 << 20):
+            keep[[part.lo + r[0] for r in _matches(part, items)]] = False
+        yield batch.drop_columns(["llm_lower"]).filter(pa.array(keep))
+
+
 def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_pylist()

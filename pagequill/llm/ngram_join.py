@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.blocks import NO_ID, ROW_BITS, open_block, text_blocks
+from pagequill.llm.blocks import NO_ID, ROW_BITS, open_block, other_columns, rows_of, text_blocks
 from pagequill.llm.components import components
 from pagequill.llm.packing import runs as runs_of
 from pagequill.llm.staging import stage
@@ -47,7 +47,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     One row of each component has ``kept``. Rows without words link with nothing, not even with each other. Rows with
     the same id are separate rows; a null id counts as the smallest. Null texts have no words. Other columns are ignored.
     """
-    blocks = text_blocks(docs, id_col, text_col)
+    found = _grouped(text_blocks(docs, id_col, text_col))
+    return found.drop("ref")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`similar_documents` keeps, with all their columns."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    blocks = text_blocks(docs, id_col, text_col, others)
+    gone = _grouped(blocks).where("not kept").select("ref", F.shiftright("ref", ROW_BITS).alias("block"))
+    schema = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col), *others).schema
+    kept = rows_of(blocks, gone, lambda left, right: _left_over(left, right, schema.names), schema)
+    return kept.select(*docs.columns)
+
+
+def _left_over(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
+    if not left.num_rows:
+        return pa.table({names[0]: pa.array([], pa.int64()), names[1]: pa.array([], pa.string())})
+    ids, data = open_block(*(left.column(c)[0].as_py() for c in ("ids", "body")))
+    keep = np.ones(len(ids), bool)
+    keep[right.column("ref").to_numpy() & ((1 << ROW_BITS) - 1)] = False
+    others = other_columns(left.column("others")[0].as_py()) if len(names) > 2 else []
+    columns = [pa.array(ids, pa.int64(), mask=ids == NO_ID), data.cast(pa.large_string()).cast(pa.string()), *others]
+    return pa.table(columns, names=names).filter(pa.array(keep))
+
+
+def _grouped(blocks: DataFrame) -> DataFrame:
     described = stage(blocks.mapInArrow(lambda b: _describe(b, (0, 1)), DESCRIBED))
     first = F.min(F.struct("id", "ref", "n", "sketch", "chosen")).alias("c")
     classes = described.where("n > 0").groupBy("sig_a", "sig_b").agg(first, F.count("*").alias("copies"))
@@ -63,6 +88,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out = described.select("ref", "id", "sig_a", "sig_b").join(known, ["sig_a", "sig_b"], "left")
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(
+        "ref",
         real(F.col("id")).alias("id"),
         real(F.coalesce("class_id", "id")).alias("class_id"),
         real(F.coalesce("head.id", "id")).alias("component_id"),

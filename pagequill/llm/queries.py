@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from pagequill.llm.chat import format_conversations, read_back, unescape
 from pagequill.llm.decontaminate import leaks
 from pagequill.llm.embeddings import near_vectors
+from pagequill.llm.pagetext import extract_text
+from pagequill.llm.quality import score_quality
+from pagequill.llm.quality import train as train_quality
 from pagequill.llm.ngram_join import similar_documents
 from pagequill.llm.substring import repeated_windows
+from pagequill.llm.pieces import encode_texts
+from pagequill.llm.toxicity import score_toxicity
+from pagequill.llm.toxicity import train as train_toxicity
 from pagequill.llm.urlrules import judge_urls
 
 TOKENIZERS = "/opt/tokenizers"
@@ -71,23 +77,49 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    found = encode_texts(table(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_documents(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "component_id", "n_links", "kept")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_url_filters": op6_url_filters,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequill.llm.blocks import NO_ID, open_block, text_blocks
+from pagequill.llm.blocks import NO_ID, open_block, other_columns, rows_of, text_blocks
 from pagequill.llm.packing import deltas, pack, ranges, runs, undelta, unpack
 from pagequill.llm.words import OTHER_PRIME, Words, mix, texts, window_hashes
 
@@ -35,28 +36,28 @@ MESSAGE = "bucket int, block long, settled boolean, data binary"
 REPLY = "block long, data binary"
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, n_removed, kept, kept_sha256)`` for each row of ``docs``, ``kept`` being null where nothing goes.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None) -> DataFrame:
+    """``(id, n_words, n_removed, text, kept_sha256)`` and the columns ``others`` for each row of ``docs``.
 
     A word is removed if a window over it starts earlier as well: in a row with a smaller id, or earlier in its own.
-    Null texts have no words. Null ids count as the smallest id. Rows that share an id are taken in the order of the
-    input. Other columns are ignored.
+    ``text`` is as it was where nothing goes, else the words left joined by one space; ``kept_sha256`` is always of the
+    words so joined. Null texts have no words and come back empty. Null ids count as the smallest id. Rows that share an
+    id are taken in the order of the input. Other columns are ignored.
     """
-    blocks = text_blocks(docs, id_col, text_col)
+    blocks = text_blocks(docs, id_col, text_col, others)
     words = (blocks.agg(F.sum("n_bytes")).first()[0] or 0) / BYTES_A_WORD
     buckets = max(12, round(words * len(COVER) / PERIOD / BUCKET_ENTRIES))
-    anchors = blocks.mapInArrow(lambda b: _anchors(b, buckets), MESSAGE)
+    anchors = blocks.select("block", "ids", "body").mapInArrow(lambda b: _anchors(b, buckets), MESSAGE)
     seen = anchors.groupBy("bucket").applyInArrow(_twice, REPLY)
-    windows = _with_replies(blocks, seen, lambda left, right: _windows(left, right, buckets), MESSAGE)
+    windows = rows_of(blocks, seen, lambda left, right: _windows(left, right, buckets), MESSAGE, ("ids", "body"))
     later = windows.groupBy("bucket").applyInArrow(_later, REPLY)
-    out = _with_replies(blocks, later, _cut, "id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    schema = T.StructType([T.StructField(c, k) for c, k in (("id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("text", T.StringType()), ("kept_sha256", T.StringType()))])
+    for name in others or []:
+        schema = schema.add(name, docs.schema[name].dataType)
+    out = rows_of(blocks, later, lambda left, right: _cut(left, right, others or []), schema)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
 
 
-def _with_replies(blocks: DataFrame, replies: DataFrame, function, schema: str) -> DataFrame:
-    return blocks.select("block", "ids", "body").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(function, schema)
-
-
 def _message(buckets: list[int], blocks: list[int], settled: list[bool], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(buckets, pa.int32()), pa.array(blocks, pa.int64()), pa.array(settled, pa.bool_()), pa.array(data, pa.binary())],
@@ -229,22 +230,29 @@ def _later(table: pa.Table) -> pa.Table:
     return _reply(blocks, data)
 
 
-def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
+def _cut(left: pa.Table, right: pa.Table, others: list[str]) -> pa.Table:
     """The texts of a block without the words under the windows that the replies name."""
-    out: list[list] = [[], [], [], [], []]
+    ids, n_words, n_removed, kept_texts, digests = [], [], [], [], []
+    kept_others = []
     if left.num_rows:
         rows, places = _marks(right)
-        ids, data = open_block(*(left.column(c)[0].as_py() for c in ("ids", "body")))
-        bounds = np.searchsorted(rows, np.arange(len(ids) + 1))
+        names, data = open_block(*(left.column(c)[0].as_py() for c in ("ids", "body")))
+        bounds = np.searchsorted(rows, np.arange(len(names) + 1))
         for i, text in enumerate(data):
-            words = text.as_py().split()
+            raw = text.as_py()
+            words = raw.split()
             lo, hi = bounds[i], bounds[i + 1]
             kept, gone = words, 0
             if lo < hi:
                 removed = _cover(len(words), places[lo:hi], 0, WINDOW - 1, places[lo:hi], np.full(hi - lo, len(words)))
                 kept, gone = list(compress(words, ~removed)), int(removed.sum())
             joined = b" ".join(kept)
-            for column, value in zip(out, (ids[i], len(words), gone, joined.decode("utf-8", "replace") if gone else None, hashlib.sha256(joined).hexdigest()), strict=True):
-                column.append(value)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.table({n: pa.array(v, k) for n, v, k in zip(("id", "n_words", "n_removed", "kept", "kept_sha256"), out, kinds, strict=True)})
+            ids.append(names[i])
+            n_words.append(len(words))
+            n_removed.append(gone)
+            kept_texts.append((joined if gone else raw).decode("utf-8", "replace"))
+            digests.append(hashlib.sha256(joined).hexdigest())
+        if others:
+            kept_others = other_columns(left.column("others")[0].as_py())
+    columns = [pa.array(v, k) for v, k in ((ids, pa.int64()), (n_words, pa.int64()), (n_removed, pa.int64()), (kept_texts, pa.string()), (digests, pa.string()))]
+    return pa.table([*columns, *kept_others], names=["id", "n_words", "n_removed", "text", "kept_sha256", *(others if kept_others else [])])
