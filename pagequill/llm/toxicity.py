@@ -146,8 +146,9 @@ def features(reader: Reader, lexicon: Lexicon, texts: list[str]) -> np.ndarray:
     row, edits = rows[hit], lexicon.edits[state[hit]]
     value = lexicon.weights[term[hit]] * np.where(edits > 0, FUZZY, 1.0) * np.where(quoted[hit], QUOTED, 1.0)
     if len(hit):
-        lo = np.searchsorted(hit, hit - WINDOW)
-        hi = np.searchsorted(hit, hit + WINDOW, "right")
+        spread = hit + row * (2 * WINDOW + 1)  # hits of other texts lie outside the window
+        lo = np.searchsorted(spread, spread - WINDOW)
+        hi = np.searchsorted(spread, spread + WINDOW, "right")
         company = hi - lo - 1
         for k, i in enumerate(hit.tolist()):  # few tokens match
             around = range(max(0, i - WINDOW), min(len(starts), i + WINDOW + 1))
