@@ -16,6 +16,7 @@ from pagequill.llm.pagetext import extract_text
 from pagequill.llm.quality import score_quality
 from pagequill.llm.quality import train as train_quality
 from pagequill.llm.ngram_join import similar_documents
+from pagequill.llm.oracles import ORACLES  # noqa: F401
 from pagequill.llm.substring import repeated_windows
 from pagequill.llm.pieces import encode_texts
 from pagequill.llm.toxicity import score_toxicity
@@ -121,5 +122,3 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLES: dict[str, str] = {}
