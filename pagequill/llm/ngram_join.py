@@ -1,10 +1,12 @@
 """Similarity join of texts on word n-grams by chosen paths.
 
 A text is the set of its shingles of ``SIZE`` words (all its words, if fewer). Sets are split over and over: each set
-follows a few of its own shingles, chosen by a hash, so that similar sets choose common ones. Buckets of at most
-``LIMIT`` sets are compared pair by pair; larger ones are split again, ``LEVELS`` times, and what is still large is
-compared in salted parts. Every pair is then verified on its whole sets. Runs with new hashes are added until the
-recall, as estimated from what two runs find in common, reaches ``TARGET``.
+follows a few of its own shingles, chosen by a hash, so that similar sets choose common ones. A bucket of at most
+``LIMIT`` sets is a leaf; a larger one is split again, up to ``LEVELS`` times, unless a shingle holds nearly all of it
+together: such dense buckets are leaves as well. Leaves are compared set by set, in tiles of bounded size: first by small
+sketches, then, for sets that may have a partner, on the whole sets. A tile counts a link only in the first leaf that
+its two sets share, and what leaves it is one count for each set and the links that hold its sets together, never its
+pairs. Runs with new hashes are added until the recall, as estimated from what several runs find, reaches ``TARGET``.
 
 Equal sets are one class from the start, whatever the number of copies.
 """
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequill.llm.blocks import NO_ID, ROW_BITS, open_block, other_columns, rows_of, text_blocks
@@ -27,14 +29,16 @@ from pagequill.llm.words import Words, mix, shingles, texts
 
 SIZE = 5
 THRESHOLD = 0.8
-LIMIT = 64
+LIMIT = 1024
+DENSE = 0.8  # of a bucket's sets under one shingle: splitting does not part them
 CHOSEN = (4.0, 3.0, 3.0)  # shingles that two sets at the threshold are expected to choose in common, by level
 LEVELS = len(CHOSEN)
-SALTS = 16
-TARGET = 0.999
+TARGET = 0.9999
 SKETCH = 48
 SKETCH_LEAST = 0.5  # of the sketch: five standard deviations below what the threshold gives
-PAIRS_A_TILE = 20_000
+TILE = 1024
+TILE_BYTES = 32 << 20
+COLUMNS = 4096
 
 DESCRIBED = "ref long, id long, n int, sig_a long, sig_b long, sketch array<int>, chosen array<array<long>>"
 
@@ -77,11 +81,10 @@ def _grouped(blocks: DataFrame) -> DataFrame:
     first = F.min(F.struct("id", "ref", "n", "sketch", "chosen")).alias("c")
     classes = described.where("n > 0").groupBy("sig_a", "sig_b").agg(first, F.count("*").alias("copies"))
     classes = stage(classes.select("sig_a", "sig_b", "copies", "c.id", "c.ref", "c.n", "c.sketch", "c.chosen"))
-    links = verified(blocks, classes)
+    found = linked(blocks, classes)
     names = classes.select("ref", "id", "copies")
-    sides = links.select("a", "b").union(links.select("b", "a"))
-    joined = sides.join(names.select(F.col("ref").alias("b"), "copies"), "b").groupBy(F.col("a").alias("ref")).agg(F.sum("copies").alias("linked"))
-    roots = components(links).select(F.col("node").alias("ref"), "root")
+    joined = found.where("links is not null").groupBy(F.col("a").alias("ref")).agg(F.sum("links").alias("linked"))
+    roots = components(found.where("a is not null and links is null").select("a", "b")).select(F.col("node").alias("ref"), "root")
     named = names.join(roots, "ref", "left").join(joined, "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     heads = named.groupBy("root").agg(F.min(F.struct("id", "ref")).alias("head"))
     known = classes.select("ref", "sig_a", "sig_b").join(named.join(heads, "root"), "ref").withColumnRenamed("id", "class_id").withColumnRenamed("ref", "class_ref")
@@ -97,20 +100,23 @@ def _grouped(blocks: DataFrame) -> DataFrame:
     )
 
 
-def verified(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links ``(a, b, similarity, mask)`` between different classes, staged."""
-    links = _verify(blocks, candidates(classes.select("ref", "n", "sketch", "chosen"), (0, 1)))
-    found = {r["mask"]: r["n"] for r in links.groupBy("mask").agg(F.count("*").alias("n")).collect()}
-    both, one, two = found.get(3, 0), found.get(1, 0), found.get(2, 0)
-    share = both / max(1, both + max(one, two))  # of all links, what the weaker run finds
-    recall, run = 1 - (1 - share) ** 2, 2
-    while both + one + two and recall < TARGET:
-        chosen = blocks.mapInArrow(lambda b, r=run: _describe(b, (r,)), DESCRIBED).select("ref", "chosen")
-        more = candidates(classes.select("ref", "n", "sketch").join(chosen, "ref"), (run,))
-        more = _verify(blocks, more.join(links, ["a", "b"], "left_anti"))
-        links = stage(links.union(more))
-        recall, run = 1 - (1 - recall) * (1 - max(share, 0.5)), run + 1
-    return links
+def linked(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, null, links)``, the links of each class to other rows; ``(a, b, null)``, links that join all that are joined."""
+    runs = 2
+    while True:
+        if runs > 2:
+            chosen = blocks.select("block", "ids", "body").mapInArrow(lambda b, r=runs: _describe(b, tuple(range(r))), DESCRIBED).select("ref", "chosen")
+            classes = stage(classes.drop("chosen").join(chosen, "ref"))
+        found = _verify(blocks, classes, _plausible(classes, _leaves(classes, runs)))
+        seen = {r["b"]: r["links"] for r in found.where("a is null").groupBy("b").agg(F.sum("links").alias("links")).collect()}  # 2 ** runs at most
+        missed = 1.0
+        for run in range(runs):
+            others = sum(n for mask, n in seen.items() if mask & ~(1 << run))
+            both = sum(n for mask, n in seen.items() if mask & ~(1 << run) and mask >> run & 1)
+            missed *= 1 - both / others if others else 0.0
+        if missed <= 1 - TARGET or runs == 8:  # eight runs miss less than any estimate can tell
+            return found.where("a is not null")
+        runs += 1
 
 
 def _chosen(hashes: np.ndarray, sizes: np.ndarray, seed: int, common: float) -> np.ndarray:
@@ -173,103 +179,200 @@ def _describe(batches: Iterator[pa.RecordBatch], runs: tuple[int, ...]) -> Itera
                 )
 
 
-def _close(a: str, b: str) -> str:
-    """Sizes at which two sets can reach the threshold."""
-    return f"{a}.n >= {THRESHOLD} * {b}.n and {b}.n >= {THRESHOLD} * {a}.n"
+def _leaves(classes: DataFrame, runs: int) -> DataFrame:
+    """``(leaf, held, mask, ref)``: the buckets to compare, with their size and the runs that made them, staged.
 
-
-def candidates(classes: DataFrame, runs: tuple[int, ...]) -> DataFrame:
-    """Pairs ``(a, b, mask)``, a < b, that meet in a bucket and whose sketches do not rule the threshold out, staged."""
-    runs_at = F.explode(F.expr("sequence(0, %d)" % (len(runs) - 1))).alias("at")
-    rows = classes.select("ref", "n", runs_at, "chosen").select("ref", "n", "at", F.explode(F.col("chosen")[F.col("at") * LEVELS]).alias("token"))
-    rows = rows.select("ref", "n", "at", F.xxhash64("at", "token").alias("path"))
-    pairs = []
+    Of buckets with the same members one is kept.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("at")
+    token = lambda level: F.explode(F.col("chosen")[F.col("at") * LEVELS + level]).alias("token")
+    rows = classes.select("ref", at, "chosen").select("ref", "at", token(0)).select("ref", "at", F.xxhash64("at", "token").alias("leaf"))
+    out = None
     for level in range(LEVELS):
-        sizes = rows.groupBy("at", "path").agg(F.count("*").alias("held")).where("held > 1")
-        rows = stage(rows.join(sizes, ["at", "path"]))
-        small = rows.where(F.col("held") <= LIMIT)
-        pairs.append(_meet(small, ["at", "path"]))
-        rows = rows.where(F.col("held") > LIMIT).drop("held")
-        if rows.isEmpty():
+        sizes = rows.groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
+        rows = stage(rows.join(sizes, "leaf"))
+        large = rows.where(F.col("held") > LIMIT)
+        last = level + 1 == LEVELS or large.isEmpty()
+        if last:
+            leaves = rows
+        else:
+            deeper = large.withColumnRenamed("leaf", "parent").join(classes.select("ref", "chosen"), "ref").select("ref", "at", "parent", "held", token(level + 1))
+            deeper = deeper.select("ref", "at", "parent", "held", F.xxhash64("parent", "token").alias("leaf"))
+            parts = deeper.groupBy("parent", "leaf").agg(F.count("*").alias("part"), F.first("held").alias("held"))
+            dense = stage(parts.groupBy("parent").agg(F.max(F.col("part") / F.col("held")).alias("most")).where(F.col("most") >= DENSE).select("parent"))
+            dense_rows = large.join(dense, large["leaf"] == dense["parent"], "left_semi")
+            leaves = rows.where(F.col("held") <= LIMIT).union(dense_rows)
+            rows = deeper.join(dense, "parent", "left_anti").select("ref", "at", "leaf")
+        out = leaves if out is None else out.union(leaves)
+        if last:
             break
-        if level + 1 < LEVELS:
-            deeper = classes.select("ref", "chosen").join(rows, "ref").select("ref", "n", "at", "path", F.explode(F.col("chosen")[F.col("at") * LEVELS + level + 1]).alias("token"))
-            rows = deeper.select("ref", "n", "at", F.xxhash64("path", "token").alias("path"))
-    else:
-        own, other = F.pmod(F.xxhash64("ref"), F.lit(SALTS)), F.explode(F.expr(f"sequence(0, {SALTS - 1})"))
-        left = rows.select("*", own.alias("s"), other.alias("t"))
-        right = rows.select("*", other.alias("s"), own.alias("t"))
-        pairs.append(_meet(left, ["at", "path", "s", "t"], right))
-    met = pairs[0]
-    for more in pairs[1:]:
-        met = met.union(more)
-    mask = F.lit(0)
-    for k, run in enumerate(runs):
-        mask = F.when(F.col("at") == k, 1 << min(run, 30)).otherwise(mask)
-    met = met.groupBy("a", "b").agg(F.bit_or(mask).alias("mask"))
-    for side in ("a", "b"):
-        sketch = classes.select(F.col("ref").alias(side), F.col("sketch").alias(f"s_{side}"))
-        met = met.join(sketch, side)
-    least = SKETCH_LEAST * F.least(F.size("s_a"), F.size("s_b"))
-    return stage(met.where(F.size(F.array_intersect("s_a", "s_b")) >= least).select("a", "b", "mask"))
-
-
-def _meet(left: DataFrame, keys: list[str], right: DataFrame | None = None) -> DataFrame:
-    right = left if right is None else right
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    met = left.alias("l").join(right.alias("r"), [*on, F.col("l.ref") < F.col("r.ref"), F.expr(_close("l", "r"))])
-    return met.select("l.at", F.col("l.ref").alias("a"), F.col("r.ref").alias("b"))
-
-
-def _verify(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets reach the threshold. Pairs are dealt to tiles; a set goes once to each tile that needs it."""
-    pairs = stage(pairs)
-    tiles = max(4, math.ceil(math.sqrt(pairs.count() / PAIRS_A_TILE)))
-    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(tiles)).cast("int")
-    dealt = pairs.withColumn("tile", tile("a") * tiles + tile("b"))
-    needs = dealt.select(F.col("a").alias("ref"), "tile").union(dealt.select(F.col("b").alias("ref"), "tile")).distinct()
-    wanted = needs.groupBy("ref").agg(F.collect_set("tile").alias("tiles"))  # at most twice the number of tiles
-    wanted = wanted.withColumn("block", F.shiftright("ref", ROW_BITS))
-    sets = blocks.select("block", "ids", "body").join(wanted.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_fetch, "tile int, ref long, body binary")
-    return stage(dealt.groupBy("tile").cogroup(sets.groupBy("tile")).applyInArrow(_compare, "a long, b long, similarity double, mask int"))
+    members = out.groupBy("leaf").agg(F.first("held").alias("held"), F.bit_or(F.expr("shiftleft(1, at)")).alias("mask"), F.sum(F.xxhash64("ref", F.lit(1)).cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(2))).alias("y"))
+    kept = members.groupBy("held", "x", "y").agg(F.min("leaf").alias("leaf"), F.bit_or("mask").alias("mask"))
+    return stage(out.select("leaf", "ref").join(kept.select("leaf", "held", "mask"), "leaf"))
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Rows dealt to tiles: a leaf of more than TILE sets meets itself in pairs of parts. ``side`` 2 is for a part and itself."""
+    parts = F.ceil(F.col("held") / TILE).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("ref", F.lit(3)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumn("side", side).withColumn("tile", F.xxhash64("leaf", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
+
+
+def _groups(rows: DataFrame, size: Column) -> DataFrame:
+    """Tiles in groups of about TILE_BYTES, so that a task holds few and many small tiles share one call."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    groups = max(12, math.ceil(total / TILE_BYTES))
+    return rows.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(5)), F.lit(groups)).cast("int")).groupBy("g")
+
+
+def _plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The rows of ``leaves`` that, by their sketches, may be linked with another set of the leaf, staged."""
+    rows = leaves.join(classes.select("ref", "n", "sketch"), "ref")
+    near = _groups(_tiled(rows), F.lit(4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, held long, mask int, ref long")
+    return stage(near.distinct())
+
+
+def _verify(blocks: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Counts and joining links as :func:`linked` returns them, and ``(null, mask, links)`` for the runs' shares, staged."""
+    lists = near.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("leaf", "mask"))).alias("leaves"))
+    wanted = lists.join(classes.select("ref", "copies"), "ref").withColumn("block", F.shiftright("ref", ROW_BITS))
+    wanted = wanted.select("block", "ref", "copies", F.col("leaves.leaf").alias("leaves"), F.col("leaves.mask").alias("masks"))
+    sets = rows_of(blocks, wanted, _fetch, "ref long, copies long, leaves array<long>, masks array<int>, body binary", ("ids", "body"))
+    rows = stage(near.select("ref", "leaf", "held").join(sets, "ref"))
+    return stage(_groups(_tiled(rows), F.length("body") + 100).applyInArrow(_compare, "a long, b long, links long"))
 
 
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-    out: list[tuple[int, int, bytes]] = []
+    """The whole sets of the rows that are wanted of a block."""
+    body: list[bytes] = [b""] * right.num_rows
     if left.num_rows and right.num_rows:
         _, data = open_block(*(left.column(c)[0].as_py() for c in ("ids", "body")))
-        refs, tiles = right.column("ref").to_pylist(), right.column("tiles").to_pylist()
-        at = np.array(refs, np.int64) & ((1 << ROW_BITS) - 1)
-        order = np.argsort(at)
+        at = right.column("ref").to_numpy() & ((1 << ROW_BITS) - 1)
         seen = 0
-        for part in texts(data.take(pa.array(at[order]))):
+        for part in texts(data.take(pa.array(at))):
             hashes, rows = _sets(part, Words(part))
-            lo, hi = runs_of(rows)
-            sizes = dict(zip(rows[lo].tolist(), zip(lo, hi, strict=True), strict=True))
-            for i in range(part.hi - part.lo):
-                k = int(order[seen + i])
-                a, b = sizes[i]
-                out.extend((t, refs[k], hashes[a:b].tobytes()) for t in tiles[k])
+            for row, lo, hi in zip(rows[(r := runs_of(rows))[0]].tolist(), *r, strict=True):
+                body[seen + row] = hashes[lo:hi].tobytes()
             seen += part.hi - part.lo
-    return pa.table({"tile": pa.array([x[0] for x in out], pa.int32()), "ref": pa.array([x[1] for x in out], pa.int64()), "body": pa.array([x[2] for x in out], pa.binary())})
-
-
-def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
-    body = right.column("body")
-    place = {r: i for i, r in enumerate(right.column("ref").to_pylist())}
-    a, b, m = (left.column(c).to_pylist() for c in ("a", "b", "mask"))
-    out: list[tuple] = []
-    for x, y, mask in zip(a, b, m, strict=True):
-        s, t = (np.frombuffer(body[place[k]].as_buffer(), np.uint64) for k in (x, y))
-        both = _common(s, t)
-        if both >= THRESHOLD * (len(s) + len(t) - both):
-            out.append((x, y, both / (len(s) + len(t) - both), mask))
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-    return pa.table({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("a", "b", "similarity", "mask"), kinds, strict=True))})
+    return right.drop_columns(["block"]).append_column("body", pa.array(body, pa.binary()))
+
+
+def _by_tile(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The row numbers of each tile: those of its one part and of its other; the same if a part meets itself."""
+    tile, side = table.column("tile").to_numpy(), table.column("side").to_numpy()
+    order = np.argsort(tile, kind="stable")
+    for lo, hi in zip(*runs_of(tile[order]), strict=True):
+        own = order[lo:hi]
+        if side[own[0]] == 2:
+            yield own, own
+        else:
+            yield own[side[own] == 0], own[side[own] == 1]
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> np.ndarray:
+    """How many members every set of ``a`` has in common with every set of ``b``."""
+    if len(a) == 2 and same:
+        n = _common(a[0], a[1])
+        return np.array([[len(a[0]), n], [n, len(a[1])]])
+    out = np.zeros((len(a), len(b)), np.float32)
+    values = np.concatenate([*a, *([] if same else b)])
+    rows = np.repeat(np.arange(len(a) + (0 if same else len(b))), [len(s) for s in (a if same else [*a, *b])])
+    order = np.argsort(values, kind="stable")
+    lo, hi = runs_of(values[order])
+    many = hi - lo > 1
+    column = np.repeat(np.cumsum(many) - 1, hi - lo)
+    keep = np.repeat(many, hi - lo)
+    column, rows = column[keep], rows[order][keep]
+    for first in range(0, int(many.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(a) + (0 if same else len(b)), min(COLUMNS, int(many.sum()) - first)), np.float32)
+        held[rows[i:j], column[i:j] - first] = 1
+        out += held[: len(a)] @ (held if same else held[len(a) :]).T
+    return np.rint(out).astype(np.int64)
+
+
+def _sketched(table: pa.Table) -> pa.Table:
+    sketch = table.column("sketch").combine_chunks()
+    bounds, flat = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint32)  # sorted as such
+    n = table.column("n").to_numpy()
+    keep = np.zeros(table.num_rows, bool)
+    for a, b in _by_tile(table):
+        if not len(a) or not len(b):
+            continue
+        one, two = ([flat[bounds[k] : bounds[k + 1]] for k in side] for side in (a, b))
+        least = SKETCH_LEAST * np.minimum(np.minimum(n[a][:, None], n[b][None]), SKETCH)
+        near = (_shared(one, two, a is b) >= least) & (n[a][:, None] >= THRESHOLD * n[b][None]) & (n[b][None] >= THRESHOLD * n[a][:, None])
+        if a is b:
+            np.fill_diagonal(near, False)
+        keep[a[near.any(1)]] = True
+        keep[b[near.any(0)]] = True
+    return table.select(["leaf", "held", "mask", "ref"]).filter(pa.array(keep))
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    bodies = table.column("body").to_pylist()
+    ref, copies, leaf = (table.column(c).to_numpy() for c in ("ref", "copies", "leaf"))
+    leaves, masks = (table.column(c).combine_chunks() for c in ("leaves", "masks"))
+    bounds, flat, runs = leaves.offsets.to_numpy(), leaves.values.to_numpy(), masks.values.to_numpy()
+    counts: dict[int, int] = {}
+    shares: dict[int, int] = {}
+    edges: list[tuple[int, int]] = []
+    for a, b in _by_tile(table):
+        if not len(a) or not len(b) or (a is b and len(a) < 2):
+            continue
+        one, two = ([np.frombuffer(bodies[k], np.uint64) for k in side] for side in (a, b))
+        both = _shared(one, two, a is b)
+        sizes = [np.array([len(s) for s in side]) for side in (one, two)]
+        links = both >= THRESHOLD * (sizes[0][:, None] + sizes[1][None] - both)
+        if a is b:
+            links &= np.arange(len(a))[:, None] < np.arange(len(b))[None]
+        if not links.any():
+            continue
+        own = leaf[a[0]]
+        paths = [[flat[bounds[k] : bounds[k + 1]] for k in side] for side in (a, b)]
+        earlier = _shared([p[p < own] for p in paths[0]], [p[p < own] for p in paths[1]], a is b) > 0
+        links &= ~earlier
+        i, j = np.nonzero(links)
+        made = np.zeros(links.shape, np.int64)
+        every = np.bitwise_or.reduce(runs) if len(runs) else 0
+        for run in range(int(every).bit_length()):
+            chosen = [[flat[bounds[k] : bounds[k + 1]][runs[bounds[k] : bounds[k + 1]] >> run & 1 > 0] for k in side] for side in (a, b)]
+            made |= (_shared(*chosen, a is b) > 0).astype(np.int64) << run
+        for mask, n in zip(*np.unique(made[i, j], return_counts=True), strict=True):
+            shares[int(mask)] = shares.get(int(mask), 0) + int(n)
+        for mine, theirs, many in ((a, b, links), (b, a, links.T)):
+            for k, n in zip(mine.tolist(), (many @ copies[theirs]).tolist(), strict=True):
+                if n:
+                    counts[int(ref[k])] = counts.get(int(ref[k]), 0) + n
+        edges += _joining(ref[a[i]].tolist(), ref[b[j]].tolist())
+    rows = [(k, None, n) for k, n in counts.items()] + [(x, y, None) for x, y in edges] + [(None, m, n) for m, n in shares.items()]
+    return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "links"))})
+
+
+def _joining(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Of the links those that join parts not yet joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
 
 
 def _common(s: np.ndarray, t: np.ndarray) -> int:
     """Members in common of two sorted sets."""
+    if not len(s) or not len(t):
+        return 0
     at = np.searchsorted(t, s)
     at[at == len(t)] = 0
     return int((t[at] == s).sum())
