@@ -9,6 +9,7 @@ score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequill.llm.labelled import SAMPLE_ROWS, held_out, sample
-from pagequill.llm.staging import ship
+from pagequill.llm.staging import ship, stage
 
 CUTOFF = 0.7
 TERMS = 400
 LEAST_TEXTS = 3
-LEAST_EVIDENCE = 12.0  # of the likelihood ratio
+LEAST_EVIDENCE = 12.0  # of the likelihood ratio; more where so many words are tried that chance would give some
 FUZZY_LENGTH = 5  # shorter terms must match exactly
 WINDOW = 6
 FUZZY, QUOTED, NEAR = 0.5, 0.3, 0.15
@@ -182,17 +183,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(found: DataFrame) -> dict[str, float]:
-    """At most TERMS terms of the sample ``(id, text, y)`` with the most evidence, and their log odds."""
+    """At most TERMS terms of the sample ``(id, text, y)`` with the most evidence, and their log odds.
+
+    The evidence asked for grows with the number of words tried, so that about one of them passes by chance.
+    """
     size = found.agg(F.count_if(F.col("y") >= 0.5), F.count_if(F.col("y") < 0.5)).first()
     if not size[0] or not size[1]:
         return {}
     words = found.select("text", "y").mapInArrow(_counted, "word string, toxic long, other long")
     words = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).where((F.col("a") >= LEAST_TEXTS) & (F.length("word") > 1))
+    words = stage(words)
+    least = max(LEAST_EVIDENCE, 2 * math.log(max(1, words.count())))
     share = (F.col("a") + F.col("b")) / (size[0] + size[1])
     part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
     evidence = 2 * (part(F.col("a"), share * size[0]) + part(F.col("b"), share * size[1]) + part(size[0] - F.col("a"), (1 - share) * size[0]) + part(size[1] - F.col("b"), (1 - share) * size[1]))
     weight = F.log((F.col("a") + 0.5) / (size[0] + 1.0)) - F.log((F.col("b") + 0.5) / (size[1] + 1.0))
-    best = words.select("word", evidence.alias("evidence"), weight.alias("weight")).where(F.col("evidence") >= LEAST_EVIDENCE).where("weight > 2")
+    best = words.select("word", evidence.alias("evidence"), weight.alias("weight")).where(F.col("evidence") >= least).where("weight > 2")
     return {r["word"]: r["weight"] for r in best.orderBy(F.desc("evidence"), "word").limit(TERMS).collect()}
 
 
