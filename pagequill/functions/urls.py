@@ -163,6 +163,12 @@ def url_extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^[\s\S]+(\.[^.]+)$", 1))
 
 
+def written_extension(url: Column) -> Column:
+    """Lower-case suffix of the URL as it is written, without query and fragment and with escapes left alone, or ''."""
+    name = F.regexp_extract(F.regexp_replace(F.regexp_extract(url, "^[^?#]*", 0), "/+$", ""), "[^/]*$", 0)
+    return F.lower(F.regexp_extract(name, r"^[\s\S]+(\.[^.]+)$", 1))
+
+
 def ipv4_key(host: Column) -> Column:
     """Eight hex digits for a dotted IPv4 address, else null."""
     octets = F.split(host, r"\.")

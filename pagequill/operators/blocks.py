@@ -26,6 +26,9 @@ MAX_LINK_SHARE = 0.33
 MIN_WORDS = 10
 
 _COUNTERS = ("article", "main", "nav", "header", "footer", "aside", "form", "head", "div", "list", "quote")
+_LANDMARKS = ("nav", "header", "footer", "aside", "form", "ad", "article", "main")
+_SURROUNDING = ("nav", "header", "footer", "aside")
+_MARKS = tuple(f"{name}_{what}" for name in _LANDMARKS for what in ("at", "in"))
 _LISTS = ("ul", "ol")
 # Tags that change what is around a block; all others only start a new one.
 _ENCLOSING = (
@@ -96,16 +99,19 @@ def _first_place() -> Column:
         F.lit(-1).alias("block"),
         F.lit("").alias("tag"),
         F.struct(
-            F.lit("body").alias("region"), *[zero.alias(c) for c in (*_COUNTERS, "ad", "ordered")]
+            F.lit("body").alias("region"),
+            *[zero.alias(c) for c in (*_COUNTERS, "ad", "ordered", "seen", *_MARKS)],
         ).alias("around"),
     )
 
 
 def _region(counts: Column) -> Column:
-    chosen = F.when(counts["head"] > 0, F.lit("head"))
-    for name in ("nav", "header", "footer", "aside", "form", "ad", "article", "main"):
-        chosen = chosen.when(counts[name] > 0, F.lit(name))
-    return chosen.otherwise("body")
+    """The innermost landmark that is open: the one that was opened last."""
+    latest = F.greatest(*[counts[f"{name}_at"] for name in _LANDMARKS])
+    chosen = F.when(counts["head"] > 0, F.lit("head")).when(latest == 0, F.lit("body"))
+    for name in _LANDMARKS:
+        chosen = chosen.when(counts[f"{name}_at"] == latest, F.lit(name))
+    return chosen
 
 
 def _next_place(g: Column, t: Column) -> Column:
@@ -143,9 +149,27 @@ def _next_around(g: Column, t: Column) -> Column:
         .when(t["tag"].isin(*_LISTS), F.lit(0))
         .otherwise(g["ordered"])
     )
+    counts["seen"] = g["seen"] + 1
+    owned = opens & t["tag"].isin("article", "main")
+
+    def marks(c: Column) -> Column:
+        """When each landmark was opened, 0 if closed, and in which div.
+
+        One left open ends with the div around it, and where an article or main begins.
+        """
+        out = {name: c[name] for name in counts}
+        for name in _LANDMARKS:
+            deeper = c[name] > g[name]
+            left = (c["div"] < g[f"{name}_in"]) | (owned if name in _SURROUNDING else F.lit(False))
+            ended = (c[name] == 0) | (left & ~deeper)
+            out[name] = F.when(ended, F.lit(0)).otherwise(c[name])
+            out[f"{name}_at"] = F.when(ended, F.lit(0)).when(deeper, c["seen"]).otherwise(g[f"{name}_at"])
+            out[f"{name}_in"] = F.when(ended, F.lit(0)).when(deeper, c["div"]).otherwise(g[f"{name}_in"])
+        return F.struct(*[value.alias(name) for name, value in out.items()])
+
     return let(
-        F.struct(*[value.alias(name) for name, value in counts.items()]),
-        lambda c: F.struct(_region(c).alias("region"), *[c[name].alias(name) for name in counts]),
+        let(F.struct(*[value.alias(name) for name, value in counts.items()]), marks),
+        lambda c: F.struct(_region(c).alias("region"), *[c[name].alias(name) for name in (*counts, *_MARKS)]),
     )
 
 
@@ -259,7 +283,7 @@ def article_blocks(column: str = "blocks") -> Column:
 
     def pick(all_blocks: Column) -> Column:
         marked = F.filter(all_blocks, lambda b: b["region"].isin(*ARTICLE_REGIONS))
-        body = F.filter(all_blocks, lambda b: b["region"] == "body")
+        body = F.filter(all_blocks, lambda b: b["region"].isin("body", "form"))
 
         def dense(items: Column) -> Column:
             def neighbour(i: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import SPACE
-from ..functions.urls import IMAGE_EXTENSIONS, is_blocked_host, url_extension, url_host, url_scheme
+from ..functions.urls import IMAGE_EXTENSIONS, is_blocked_host, url_host, url_scheme, written_extension
 
 
 def validate_urls(urls: DataFrame) -> DataFrame:
@@ -57,10 +60,10 @@ def fetch_outcomes(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 def accept_image_responses(responses: DataFrame) -> DataFrame:
-    """2xx responses that say they are an image or whose URL ends like one."""
+    """2xx responses that say they are an image or whose URL, as it is written, ends like one."""
     return responses.filter(
         F.col("status_code").between(200, 299)
-        & (F.col("content_type").contains("image/") | url_extension(F.col("url")).isin(*IMAGE_EXTENSIONS))
+        & (F.col("content_type").contains("image/") | written_extension(F.col("url")).isin(*IMAGE_EXTENSIONS))
     )
 
 
@@ -87,10 +90,27 @@ SINGLE_BYTE = {
     "iso8859-16": ("iso-8859-16", "iso8859-16", "latin10", "l10"),
     "koi8-r": ("koi8-r",),
     "koi8-u": ("koi8-u",),
+    "iso8859-6": ("iso-8859-6", "iso8859-6", "arabic", "asmo-708", "ecma-114"),
+    "iso8859-8": ("iso-8859-8", "iso8859-8", "hebrew"),
+    "iso8859-10": ("iso-8859-10", "iso8859-10", "latin6", "l6"),
+    "iso8859-11": ("iso-8859-11", "iso8859-11", "thai"),
+    "iso8859-14": ("iso-8859-14", "iso8859-14", "latin8", "l8", "iso-celtic"),
+    "cp437": ("cp437", "ibm437", "437"),
+    "cp850": ("cp850", "ibm850", "850"),
+    "cp852": ("cp852", "ibm852", "852"),
+    "cp855": ("cp855", "ibm855", "855"),
     "cp866": ("cp866", "ibm866", "866"),
+    "cp874": ("cp874",),
+    "mac-roman": ("mac-roman", "macintosh", "macroman"),
+    "mac-cyrillic": ("mac-cyrillic", "maccyrillic"),
+    "mac-greek": ("mac-greek", "macgreek"),
+    "mac-latin2": ("mac-latin2", "maclatin2", "mac-centeuro"),
+    "mac-turkish": ("mac-turkish", "macturkish"),
+    "mac-iceland": ("mac-iceland", "maciceland"),
+    "tis-620": ("tis-620", "tis620", "tis-620-0"),
     "ascii": ("ascii", "us-ascii", "646", "iso646-us"),
 }
-# Multi-byte charsets, readable only with spark.sql.legacy.javaCharsets=true.
+# Multi-byte charsets.
 JAVA_CHARSETS = (
     "utf-16", "utf-16le", "utf-16be", "utf-32", "gb2312", "gbk", "gb18030", "big5", "shift_jis", "euc-jp",
     "euc-kr", "iso-2022-jp",
@@ -121,30 +141,38 @@ def _single_byte(body: Column, codec: str) -> Column:
     return F.when(~plain.rlike(f"[{undefined}]"), decoded) if undefined else decoded
 
 
-def decode_body(body: Column, charset: Column, java_charsets: bool = False) -> Column:
+@contextmanager
+def _java_charsets(spark: SparkSession) -> Iterator[None]:
+    """Spark takes the charsets a decode may use from the session when the column is built: all are allowed meanwhile."""
+    keys = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    for key in keys:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def decode_body(body: Column, charset: Column) -> Column:
     """Text of a response body; bad bytes or an unknown charset give UTF-8 with replacement."""
     name = F.regexp_replace(F.lower(charset), "[_ ]", "-")
     decoded = None
     for codec, aliases in SINGLE_BYTE.items():
         decoded = (F if decoded is None else decoded).when(name.isin(*aliases), _single_byte(body, codec))
-    if java_charsets:
-        for codec in JAVA_CHARSETS:
-            text = F.decode(body, codec)
-            decoded = decoded.when(name == codec.replace("_", "-"), F.when(~text.contains("\ufffd"), text))
+    for codec in JAVA_CHARSETS:
+        text = F.decode(body, codec)
+        decoded = decoded.when(name == codec.replace("_", "-"), F.when(~text.contains("\ufffd"), text))
     return F.coalesce(decoded, F.make_valid_utf8(body.cast("string")))
 
 
 def decode_pages(responses: DataFrame) -> DataFrame:
-    """(…, content_type, body) -> the same rows with ``charset`` and ``html`` in place of the body.
-
-    Multi-byte charsets other than UTF-8 need ``spark.sql.legacy.javaCharsets`` and
-    ``spark.sql.legacy.codingErrorAction`` set to true in the session.
-    """
-    conf = responses.sparkSession.conf
-    java = all(
-        str(conf.get(key, "false")).lower() == "true"
-        for key in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
-    )
+    """(…, content_type, body) -> the same rows with ``charset`` and ``html`` in place of the body."""
     readable = F.make_valid_utf8(F.col("body").cast("string"))
     with_charset = responses.withColumn("charset", detect_charset(F.col("content_type"), readable))
-    return with_charset.withColumn("html", decode_body(F.col("body"), F.col("charset"), java)).drop("body")
+    with _java_charsets(responses.sparkSession):
+        return with_charset.withColumn("html", decode_body(F.col("body"), F.col("charset"))).drop("body")

@@ -14,6 +14,10 @@ from .tokens import meta_array, with_tokens
 FIELDS = ("title", "author", "date", "description", "tags", "og_title", "og_description", "og_image")
 
 
+HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADING_PARENTS = ("header", "section", "article", "main", "body", "html")
+
+
 def _content(metas: Column, *sources: tuple[str, str]) -> Column:
     """Trimmed content of the first existing element, sources tried in order."""
     chosen = F.coalesce(*[F.get(_having(metas, kind, key), F.lit(0)) for kind, key in sources])
@@ -25,11 +29,18 @@ def _having(metas: Column, kind: str, key: str) -> Column:
 
 
 def heading_text(tokens: Column) -> Column:
-    """Text of the first h1: its text nodes trimmed one by one and joined."""
+    """Text of the first h1: its text nodes trimmed one by one and joined.
+
+    Blocks inside belong to it. One left open ends at another heading or with the part of the page it is in.
+    """
     start = first_index(tokens, lambda t: is_open(t, "h1"))
+
+    def ends(t: Column) -> Column:
+        return t["tag"].isin(*HEADING_TAGS) | ((t["kind"] == "close") & t["tag"].isin(*HEADING_PARENTS))
+
     inside = let(
         start,
-        lambda s: F.when(s > 0, text_until(tokens, s, lambda t: t["tag"].isin(*BLOCK_TAGS))),
+        lambda s: F.when(s > 0, text_until(tokens, s, ends)),
     )
     texts = F.transform(
         F.filter(inside, lambda t: t["kind"] == "text"), lambda t: strip(decode_entities(t["raw"]))

@@ -102,3 +102,17 @@ def test_statuses_and_summary(spark):
 def test_drop_empty(spark):
     rows = spark.createDataFrame([("x",), (" \t  \n",), (None,), ("",)], "markdown string")
     assert [r.status for r in outcomes.drop_empty(rows).collect()] == ["success", "skip", "skip", "skip"]
+
+
+def test_charsets_need_no_session_setting(spark):
+    cases = [("windows-1251", "привет", "cp1251"), ("Shift_JIS", "日本語", "shift_jis"), ("gbk", "中文", "gbk"), ("iso-8859-8", "שלום", "iso8859-8"), ("tis-620", "ไทย", "tis-620"), ("mac-cyrillic", "Привет", "mac-cyrillic"), ("cp437", "é░", "cp437")]
+    rows = [(k, f"text/html; charset={name}", bytearray(text.encode(codec))) for k, (name, text, codec) in enumerate(cases)]
+    frame = fetchlog.decode_pages(spark.createDataFrame(rows, "seq int, content_type string, body binary"))
+    assert [r.html for r in frame.orderBy("seq").collect()] == [c[1] for c in cases]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+
+
+def test_image_responses_go_by_the_url_as_written(spark):
+    rows = [("https://c/9.a%2Ejpg", "text/html"), ("https://c/9.JPG?x=.txt", "text/html"), ("https://c/9.php#a.png", ""), ("https://c/x", "image/png")]
+    frame = spark.createDataFrame([(200, t, u) for u, t in rows], "status_code int, content_type string, url string")
+    assert [r.url for r in fetchlog.accept_image_responses(frame).collect()] == ["https://c/9.JPG?x=.txt", "https://c/x"]
