@@ -16,6 +16,7 @@ from ..operators.naming import CONFLICT_MODES, assign_note_paths
 from ..operators.notes import compose_notes, convert, with_frontmatter, with_yaml
 from ..operators.outcomes import classify
 from ..sources.staging import stage
+from ..sources.tables import read_catalogue, read_images, write_images, write_notes
 
 IMAGE_MODES = ("link", "download", "skip")
 
@@ -78,14 +79,36 @@ def clip_pages(
     catalogue: DataFrame | None = None,
     existing_images: DataFrame | None = None,
 ) -> DataFrame:
-    """Pages (page_id, url, html) -> one note row per page; ``page_id`` is the input order.
+    """Pages (page_id, url, html) -> one note row per page; ``page_id`` is the input order."""
+    return clip_with_images(pages, options, catalogue, existing_images)[0]
+
+
+def clip_run(pages: DataFrame, options: ClipOptions, out: str, run: int) -> None:
+    """Clip a batch and write it as run ``run`` of the notes under ``out``, named against the runs before it.
+
+    The attachment plan of the run goes to ``out/images``, so that later runs give out other file names.
+    """
+    spark = pages.sparkSession
+    download = options.images == "download"
+    images = read_images(spark, out, before_run=run) if download else None
+    notes, plan = clip_with_images(pages, options, read_catalogue(spark, out, before_run=run), images)
+    if plan is not None:
+        write_images(plan, out, run)
+    write_notes(notes, out, run)
+
+
+def clip_with_images(
+    pages: DataFrame, options: ClipOptions, catalogue: DataFrame | None, existing_images: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The notes, and with ``images="download"`` the plan (page_id, src_abs, filename, width, path) of what to fetch.
 
     Texts are computed once and staged; naming then reads two small columns of the
-    staged table, and its result joins the texts in the only wide shuffle.
+    staged table, and its result joins the texts.
     """
-    found = articles(pages, options)
+    found, plan = articles(pages, options), None
     if options.images == "download":
-        found, _ = attach(found, options, existing_images)
+        found, plan = attach(found, options, existing_images)
+        plan = plan.withColumn("path", F.concat(F.lit(options.images_dir.rstrip("/") + "/"), "filename"))
     notes = stage(finish(found, options))
     wanted = notes.filter(~F.col("blank")).select(F.col("page_id").alias("seq"), "name")
     paths = assign_note_paths(wanted, catalogue, options.conflict).select(
@@ -94,7 +117,7 @@ def clip_pages(
     named = notes.join(paths, "page_id", "left")
     ending = F.when(F.col("blank"), F.lit("blank")).when(F.col("action") == "skip", F.lit("exists")).otherwise("")
     composed = compose_notes(named, options.include_frontmatter)
-    return composed.select(
+    result = composed.select(
         "page_id",
         "url",
         F.coalesce(F.nullif(F.col("meta")["title"], F.lit("")), F.lit("Untitled")).alias("title"),
@@ -107,3 +130,4 @@ def clip_pages(
         "content",
         *classify(ending),
     )
+    return result, plan

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set, as in tests."""
+    """The session's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder.
+
+    On a cluster each machine would write to its own disk and rows would go missing, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pagequill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

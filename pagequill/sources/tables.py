@@ -20,23 +20,14 @@ PAGES = T.StructType(
     ]
 )
 NOTE_ROW = "page_id bigint, path string, action string, content string, run bigint"
+IMAGE_ROW = "page_id bigint, src_abs string, filename string, width int, path string, run bigint"
 
 # Line ends beside the line feed and carriage return that the text reader knows.
 _LINE_ENDS = r"[\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small input out over all cores.
-
-    A table with at least as many splits as the cluster has cores is returned as it
-    is, so nothing large is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.schema(PAGES).parquet(path), "page_id")
+    return spark.read.schema(PAGES).parquet(path)
 
 
 def read_url_list(spark: SparkSession, path: str, extra_urls: Iterable[str] = ()) -> DataFrame:
@@ -71,9 +62,11 @@ def read_url_list(spark: SparkSession, path: str, extra_urls: Iterable[str] = ()
     return first.unionByName(numbered)
 
 
-def write_notes(notes: DataFrame, out: str, run: int = 0) -> None:
+def write_notes(notes: DataFrame, out: str, run: int) -> None:
     """Write the notes that have a path as run ``run``; writing a run again replaces it.
 
+    Every batch needs a number of its own, and its names a catalogue of the runs before it: ``clip_run`` does both.
+
     Runs are never changed by later ones: for a path written more than once
     ``read_notes`` takes the last run, and inside a run the final request.
     """
@@ -81,11 +74,14 @@ def write_notes(notes: DataFrame, out: str, run: int = 0) -> None:
     kept.select("page_id", "path", "action", "content").write.mode("overwrite").parquet(f"{out}/run={run}")
 
 
-def _runs(spark: SparkSession, out: str) -> DataFrame:
+def _runs(spark: SparkSession, out: str, row: str = NOTE_ROW) -> DataFrame:
+    """The runs written so far. Only a table that is not there yet is empty; any other fault is an error."""
     try:
-        return spark.read.option("basePath", out).parquet(f"{out}/run=*").withColumn("run", F.col("run").cast("bigint"))
-    except AnalysisException:
-        return spark.createDataFrame([], NOTE_ROW)
+        return spark.read.schema(row).option("basePath", out).parquet(f"{out}/run=*")
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], row)
 
 
 def read_catalogue(spark: SparkSession, out: str, before_run: int | None = None) -> DataFrame:
@@ -97,6 +93,20 @@ def read_catalogue(spark: SparkSession, out: str, before_run: int | None = None)
 
 
 def read_notes(spark: SparkSession, out: str) -> DataFrame:
-    """The current note under each path."""
-    last = F.max_by(F.struct("page_id", "action", "content"), "run").alias("last")
-    return _runs(spark, out).groupBy("path").agg(last).select("path", "last.*")
+    """The current note under each path. The last run of a path is found on its two columns; texts are not grouped."""
+    runs = _runs(spark, out)
+    last = runs.groupBy("path").agg(F.max("run").alias("run"))
+    return runs.join(last, ["path", "run"], "left_semi").select("path", "page_id", "action", "content")
+
+
+def write_images(plan: DataFrame, out: str, run: int) -> None:
+    """Write a run's attachment plan, what to fetch and where to put it; writing a run again replaces it."""
+    plan.select("page_id", "src_abs", "filename", "width", "path").write.mode("overwrite").parquet(f"{out}/images/run={run}")
+
+
+def read_images(spark: SparkSession, out: str, before_run: int | None = None) -> DataFrame:
+    """File names of images planned so far; with ``before_run`` only those of earlier runs."""
+    runs = _runs(spark, f"{out}/images", IMAGE_ROW)
+    if before_run is not None:
+        runs = runs.filter(F.col("run") < before_run)
+    return runs.select("filename").distinct()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.clip import ClipOptions, clip_pages
-from ..sources.tables import PAGES, read_catalogue, write_notes
+from ..plans.clip import ClipOptions, clip_run
+from ..sources.tables import PAGES
 
 
 def stream_notes(
@@ -19,7 +19,7 @@ def stream_notes(
 ) -> StreamingQuery:
     """Turn every page file not seen yet into notes, then stop.
 
-    Names are resolved against what earlier batches wrote. A batch is one run of the
+    Names of notes and images are resolved against what earlier batches wrote. A batch is one run of the
     output table; a batch that is tried again replaces its own run and sees only the
     runs before it, so a lost attempt leaves nothing behind.
     """
@@ -28,8 +28,7 @@ def stream_notes(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def write_batch(batch: DataFrame, run: int) -> None:
-        catalogue = read_catalogue(batch.sparkSession, out_dir, before_run=run)
-        write_notes(clip_pages(batch, options, catalogue), out_dir, run)
+        clip_run(batch, options, out_dir, run)
 
     return (
         reader.parquet(in_dir)

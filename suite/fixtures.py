@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequill.sources.tables import spread
 
 DECORATED_PAGES = r"""
 SELECT page_id, url,
@@ -109,6 +108,11 @@ VIEWS["catalogue"] = CATALOGUE
 _SOURCES = {"note_sources": "documents", "fetch_attempts": "events"}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a test table out over all cores: it is one small file."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view in Spark."""
     source = _SOURCES.get(name, "pages")

@@ -17,17 +17,17 @@ from pagequill.functions.urls import resolve_url, url_extension
 from pagequill.operators import blocks, fetchlog, media, metadata, naming, notes, outcomes, tokens
 from pagequill.plans.clip import ClipOptions, clip_pages
 from pagequill.sources.staging import staging_root
-from pagequill.sources.tables import read_notes, read_pages, read_url_list, spread
+from pagequill.sources.tables import read_notes, read_pages, read_url_list
 from pagequill.streaming.notes import stream_notes as run_stream
 
-from .fixtures import view
+from .fixtures import spread, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2026-12-01"
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_pages(spark, f"{sf}/pages.parquet")
+    return spread(read_pages(spark, f"{sf}/pages.parquet"), "page_id")
 
 
 def _decorated(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _rewritten(step: Callable[[Column], Column]) -> Query:
 
 
 def pages_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("page_id", "url", F.length("html").alias("html_chars"))
+    return _pages(spark, sf).select("page_id", "url", F.md5("html").alias("html_md5"))
 
 
 def url_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,9 +200,9 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolve_urls(spark: SparkSession, sf: str) -> DataFrame:
-    rows = media.page_links(_decorated(spark, sf))
-    base = _decorated(spark, sf).select("page_id", "url")
-    return rows.join(base, "page_id").select("page_id", "pos", "href", resolve_url(F.col("url"), F.col("href")).alias("target"))
+    pages = tokens.with_tokens(_decorated(spark, sf))
+    rows = pages.select("page_id", "url", F.explode(media.link_array()).alias("link")).select("page_id", "url", "link.pos", "link.href")
+    return rows.select("page_id", "pos", "href", resolve_url(F.col("url"), F.col("href")).alias("target"))
 
 
 def url_extensions(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +240,7 @@ def note_names(spark: SparkSession, sf: str) -> DataFrame:
     text = _documents(spark, sf)
     url = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string")))
     date = F.when(F.col("doc_id") % 2 == 0, "2026-09-22").otherwise("")
-    title = F.concat(F.substring_index("text", ".", 1), F.repeat(F.lit(" tail"), (F.col("doc_id") % 9).cast("int")))
+    title = F.concat("text", F.repeat(F.lit(" tail"), (F.col("doc_id") % 9).cast("int")))
     return text.select("doc_id", note_name(title, url, date, date_prefix=True).alias("name"))
 
 
@@ -335,12 +335,10 @@ def stream_notes(spark: SparkSession, sf: str) -> DataFrame:
     last = pages.agg(F.max("page_id").alias("last")).scalar()
     part = F.floor(F.col("page_id") * STREAM_PARTS / (last + 1))
     incoming = _folder(spark, "incoming")
+    out, state = _folder(spark, "notes"), _folder(spark, "stream")
     for number in range(STREAM_PARTS):
-        pages.filter(part == number).coalesce(1).write.mode("append").parquet(incoming)
-    out = _folder(spark, "notes")
-    run_stream(
-        spark, incoming, out, _folder(spark, "stream"), ClipOptions(as_of=AS_OF), files_per_batch=1
-    ).awaitTermination()
+        pages.filter(part == number).write.mode("append").parquet(incoming)
+        run_stream(spark, incoming, out, state, ClipOptions(as_of=AS_OF)).awaitTermination()
     return read_notes(spark, out)
 
 

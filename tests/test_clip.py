@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from pagequill.functions.frontmatter import frontmatter, frontmatter_yaml
 from pagequill.plans.clip import ClipOptions, clip_pages
-from pagequill.sources.tables import read_catalogue, read_notes, read_url_list, write_notes
+from pagequill.plans.clip import clip_run
+from pagequill.sources.staging import staging_root
+from pagequill.sources.tables import read_catalogue, read_images, read_notes, read_url_list, write_notes
 from pagequill.streaming.notes import stream_notes
 
 yaml = pytest.importorskip("yaml")
@@ -114,3 +116,70 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = clip_pages(everything, options).filter("path is not null")
     want = sorted((r.path, r.page_id, r.content) for r in batch.collect())
     assert sorted((r.path, r.page_id, r.content) for r in read_notes(spark, out).collect()) == want
+
+
+def test_runs_are_named_against_the_runs_before(spark, tmp_path):
+    out = str(tmp_path / "notes")
+    options = ClipOptions(as_of=DAY, images="download", images_dir="files/")
+    first = pages(spark, "One").withColumn("html", F.replace("html", F.lit("/i.png"), F.lit("https://h/i.png")))
+    second = first.withColumns({"page_id": F.lit(5).cast("bigint"), "html": F.replace("html", F.lit("https://h/i.png"), F.lit("https://h/j.png"))})
+    for _ in range(2):  # a run that is tried again changes nothing
+        clip_run(first, options, out, 0)
+        clip_run(second, options, out, 1)
+    notes = {r.path: r.content for r in read_notes(spark, out).collect()}
+    assert set(notes) == {"one.md", "one-2.md"}
+    assert "![[pic.png|9]]" in notes["one.md"] and "![[pic-2.png|9]]" in notes["one-2.md"]
+    assert sorted(r.filename for r in read_images(spark, out).collect()) == ["pic-2.png", "pic.png"]
+    assert [r.filename for r in read_images(spark, out, before_run=1).collect()] == ["pic.png"]
+    plan = spark.read.parquet(f"{out}/images")
+    assert sorted((r.src_abs, r.path) for r in plan.collect()) == [("https://h/i.png", "files/pic.png"), ("https://h/j.png", "files/pic-2.png")]
+
+
+def test_a_broken_catalogue_is_an_error(spark, tmp_path):
+    (tmp_path / "run=0").mkdir()
+    (tmp_path / "run=0" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        read_catalogue(spark, str(tmp_path)).collect()
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging_root(Session())
+
+
+WORDS = "one two three four five six seven eight nine ten eleven"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<form><div><article><p>{WORDS}</p></article></div></form>",
+        f"<form><p>{WORDS}</p></form>",
+        f"<div><nav><a href=x>a</a></div><p>{WORDS}",
+        f"<nav><p>menu<article><p>{WORDS}</p></article>",
+        f"<article><nav>inner</nav><p>{WORDS}</p></article>",
+        f"<aside><div>x</div><p>y</p></aside><p>{WORDS}",
+        f"<div class='ad'>ad<div>x</div></div><p>{WORDS}",
+    ],
+)
+def test_regions_are_the_innermost_open_landmark(spark, body):
+    source = spark.createDataFrame([(1, "https://e/", f"<html><body>{body}</body></html>")], "page_id long, url string, html string")
+    assert clip_pages(source, ClipOptions(as_of=DAY)).first().markdown == WORDS
+
+
+def test_title_of_a_heading_with_blocks(spark):
+    html = "<html><head><title>Site</title></head><body><article><h1><div>Real</div> <p>name</p></h1><p>x</article></body></html>"
+    assert clip_pages(spark.createDataFrame([(1, "https://e/", html)], "page_id long, url string, html string"), ClipOptions(as_of=DAY)).first().title == "Realname"
