@@ -36,9 +36,9 @@ NOTE_SOURCES = r"""
 SELECT doc_id, 'https://notes.example.org/n/' || CAST(doc_id AS STRING) AS url,
   'Heading ' || CAST(doc_id % 11 AS STRING) || chr(10) || chr(10) || text || chr(10) || chr(10)
   || CASE doc_id % 8
-     WHEN 0 THEN 'sudo apt update' || chr(10) || 'pip install x' || chr(10)
+     WHEN 0 THEN 'git fetch --all' || chr(10) || 'docker ps' || chr(10)
      WHEN 1 THEN '```python' || chr(10) || 'cd not_fenced_again' || chr(10) || '```' || chr(10)
-     WHEN 2 THEN 'First item' || chr(10) || '  Second item' || chr(10) || '    Nested item' || chr(10)
+     WHEN 2 THEN 'Alpha' || chr(10) || '  Beta of it' || chr(10) || '    Gamma below' || chr(10)
      WHEN 3 THEN '> <blockquote class="callout-info"><p>Mind > the ! gap</p><p>Body</p></blockquote>' || chr(10)
      WHEN 4 THEN '> plain quote' || chr(10) || '> second' || chr(10) || '>tight' || chr(10)
      WHEN 5 THEN 'call(*a*) and call(*a*, *b*) <mark>m</mark> <!-- c --> <s>gone</s>' || chr(10)

@@ -16,7 +16,7 @@ STEPS = [
     (md.code_params, "f(*a*) g(*a*,  *b*) $1", "f(`a`) g(`a`, `b`) $1"),
     (md.highlights, "<mark>a\nb</mark> <marker>c</mark>", "==a\nb== ==c=="),
     (md.hidden_comments, "<!-- a\nb -->c", "%% a\nb %%c"),
-    (md.math, '<math display="block">a$1</math> <span class="math"><math>x</math></span>', "$$a$1$$ $$x$$"),
+    (md.math, '<math display="block">a$1</math> <span class="math"><math>u+v</math></span>', "$$a$1$$ $$u+v$$"),
     (md.mermaid, 'x <pre class="mermaid"> A--&gt;B </pre> y', "x ```mermaid\nA-->B\n``` y"),
     (md.mermaid, '<pre id="a" class="mermaid">A</pre>', '<pre id="a" class="mermaid">A</pre>'),
     (md.fence_shell, "git y\n\ntext\n```\ncd q\n```\n  cd z\n", "```bash\ngit y\n```\n\ntext\n```\ncd q\n```\n```bash\n  cd z\n```\n"),
