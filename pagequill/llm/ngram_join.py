@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pagequill.llm.blocks import NO_ID, ROW_BITS, open_block, other_columns, rows_of, text_blocks
 from pagequill.llm.components import components
+from pagequill.llm.packing import deltas, pack, undelta, unpack
 from pagequill.llm.packing import runs as runs_of
 from pagequill.llm.staging import stage
 from pagequill.llm.words import Words, mix, shingles, texts
@@ -39,6 +40,7 @@ SKETCH_LEAST = 0.5  # of the sketch: five standard deviations below what the thr
 TILE = 1024
 TILE_BYTES = 32 << 20
 COLUMNS = 4096
+DROPPED = np.uint64(16)  # bits of a shingle hash that a set is sent without; 48 tell shingles of two sets apart
 
 DESCRIBED = "ref long, id long, n int, sig_a long, sig_b long, sketch array<int>, chosen array<array<long>>"
 
@@ -191,13 +193,13 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     for level in range(LEVELS):
         sizes = rows.groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
         rows = stage(rows.join(sizes, "leaf"))
-        large = rows.where(F.col("held") > LIMIT)
+        large = stage(rows.where(F.col("held") > LIMIT))  # mostly a small table, whose known size spares the sets a shuffle
         last = level + 1 == LEVELS or large.isEmpty()
         if last:
             leaves = rows
         else:
             deeper = large.withColumnRenamed("leaf", "parent").join(classes.select("ref", "chosen"), "ref").select("ref", "at", "parent", "held", token(level + 1))
-            deeper = deeper.select("ref", "at", "parent", "held", F.xxhash64("parent", "token").alias("leaf"))
+            deeper = stage(deeper.select("ref", "at", "parent", "held", F.xxhash64("parent", "token").alias("leaf")))
             parts = deeper.groupBy("parent", "leaf").agg(F.count("*").alias("part"), F.first("held").alias("held"))
             dense = stage(parts.groupBy("parent").agg(F.max(F.col("part") / F.col("held")).alias("most")).where(F.col("most") >= DENSE).select("parent"))
             dense_rows = large.join(dense, large["leaf"] == dense["parent"], "left_semi")
@@ -206,9 +208,15 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
         out = leaves if out is None else out.union(leaves)
         if last:
             break
-    members = out.groupBy("leaf").agg(F.first("held").alias("held"), F.bit_or(F.expr("shiftleft(1, at)")).alias("mask"), F.sum(F.xxhash64("ref", F.lit(1)).cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(2))).alias("y"))
+    return stage(_merged(out.select("leaf", "ref", F.expr("shiftleft(1, at)").alias("mask"))))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Of leaves with the same members one, with the runs of all; those of one member go."""
+    both = F.sum(F.xxhash64("ref", F.lit(1)).cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(2))).alias("y")
+    members = rows.groupBy("leaf").agg(F.count("*").alias("held"), F.bit_or("mask").alias("mask"), *both).where("held > 1")
     kept = members.groupBy("held", "x", "y").agg(F.min("leaf").alias("leaf"), F.bit_or("mask").alias("mask"))
-    return stage(out.select("leaf", "ref").join(kept.select("leaf", "held", "mask"), "leaf"))
+    return rows.select("leaf", "ref").join(kept.select("leaf", "held", "mask"), "leaf")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -220,9 +228,8 @@ def _tiled(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("side", side).withColumn("tile", F.xxhash64("leaf", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
 
 
-def _groups(rows: DataFrame, size: Column) -> DataFrame:
+def _groups(rows: DataFrame, total: int) -> DataFrame:
     """Tiles in groups of about TILE_BYTES, so that a task holds few and many small tiles share one call."""
-    total = rows.agg(F.sum(size)).first()[0] or 0
     groups = max(12, math.ceil(total / TILE_BYTES))
     return rows.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(5)), F.lit(groups)).cast("int")).groupBy("g")
 
@@ -230,8 +237,9 @@ def _groups(rows: DataFrame, size: Column) -> DataFrame:
 def _plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
     """The rows of ``leaves`` that, by their sketches, may be linked with another set of the leaf, staged."""
     rows = leaves.join(classes.select("ref", "n", "sketch"), "ref")
-    near = _groups(_tiled(rows), F.lit(4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, held long, mask int, ref long")
-    return stage(near.distinct())
+    tiles = _tiled(rows)
+    near = _groups(tiles, tiles.count() * (4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, mask int, ref long")
+    return stage(_merged(stage(near.distinct())))
 
 
 def _verify(blocks: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
@@ -240,8 +248,9 @@ def _verify(blocks: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame
     wanted = lists.join(classes.select("ref", "copies"), "ref").withColumn("block", F.shiftright("ref", ROW_BITS))
     wanted = wanted.select("block", "ref", "copies", F.col("leaves.leaf").alias("leaves"), F.col("leaves.mask").alias("masks"))
     sets = rows_of(blocks, wanted, _fetch, "ref long, copies long, leaves array<long>, masks array<int>, body binary", ("ids", "body"))
-    rows = stage(near.select("ref", "leaf", "held").join(sets, "ref"))
-    return stage(_groups(_tiled(rows), F.length("body") + 100).applyInArrow(_compare, "a long, b long, links long"))
+    size = _tiled(near.join(classes.select("ref", "n"), "ref")).agg(F.sum(F.lit(100) + 8 * F.col("n"))).first()[0] or 0
+    rows = near.select("ref", "leaf", "held").join(sets, "ref")
+    return stage(_groups(_tiled(rows), size).applyInArrow(_compare, "a long, b long, links long"))
 
 
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -254,7 +263,7 @@ def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         for part in texts(data.take(pa.array(at))):
             hashes, rows = _sets(part, Words(part))
             for row, lo, hi in zip(rows[(r := runs_of(rows))[0]].tolist(), *r, strict=True):
-                body[seen + row] = hashes[lo:hi].tobytes()
+                body[seen + row] = pack(deltas(hashes[lo:hi] >> DROPPED))  # sorted, so small steps
             seen += part.hi - part.lo
     return right.drop_columns(["block"]).append_column("body", pa.array(body, pa.binary()))
 
@@ -308,7 +317,7 @@ def _sketched(table: pa.Table) -> pa.Table:
             np.fill_diagonal(near, False)
         keep[a[near.any(1)]] = True
         keep[b[near.any(0)]] = True
-    return table.select(["leaf", "held", "mask", "ref"]).filter(pa.array(keep))
+    return table.select(["leaf", "mask", "ref"]).filter(pa.array(keep))
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -322,7 +331,7 @@ def _compare(table: pa.Table) -> pa.Table:
     for a, b in _by_tile(table):
         if not len(a) or not len(b) or (a is b and len(a) < 2):
             continue
-        one, two = ([np.frombuffer(bodies[k], np.uint64) for k in side] for side in (a, b))
+        one, two = ([undelta(unpack(bodies[k])[0]) for k in side] for side in (a, b))
         both = _shared(one, two, a is b)
         sizes = [np.array([len(s) for s in side]) for side in (one, two)]
         links = both >= THRESHOLD * (sizes[0][:, None] + sizes[1][None] - both)
