@@ -42,8 +42,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word is removed if a window over it starts earlier as well: in a row with a smaller id, or earlier in its own.
     ``text`` is as it was where nothing goes, else the words left joined by one space; ``kept_sha256`` is always of the
     words so joined. Null texts have no words and come back empty. Null ids count as the smallest id. Rows that share an
-    id are taken in the order of the input. Other columns are ignored.
+    id are taken in the order of the input. Other columns are ignored, as are names in ``others`` that the result has.
     """
+    others = [c for c in others or [] if c not in ("id", "n_words", "n_removed", "text", "kept_sha256")]
     blocks = text_blocks(docs, id_col, text_col, others)
     words = (blocks.agg(F.sum("n_bytes")).first()[0] or 0) / BYTES_A_WORD
     buckets = max(12, round(words * len(COVER) / PERIOD / BUCKET_ENTRIES))

@@ -12,7 +12,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 BYTE_PRIME = 0x9E3779B97F4A7C15
 WORD_PRIME = 0xC2B2AE3D27D4EB4F
 OTHER_PRIME = 0xA0761D6478BD642F
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Texts:
