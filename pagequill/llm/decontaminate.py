@@ -132,9 +132,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaks, with all their columns."""
+    own = "lower"
+    while own in docs.columns:
+        own += "_"
     for held in _item_blocks(benchmark, item_col, item_text_col):
-        lower = docs.withColumn("llm_lower", F.lower(text_col))
-        docs = lower.mapInArrow(lambda b, h=held: _clean(b, h.value), docs.schema)
+        lower = docs.withColumn(own, F.lower(text_col))
+        docs = lower.mapInArrow(lambda b, h=held: _clean(b, h.value, own), docs.schema)
     return docs
 
 
@@ -151,12 +154,12 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[Bro
     return out
 
 
-def _clean(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], items: Items, own: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
-        for part in texts(batch.column("llm_lower"), 1 << 20):
+        for part in texts(batch.column(own), 1 << 20):
             keep[[part.lo + r[0] for r in _matches(part, items)]] = False
-        yield batch.drop_columns(["llm_lower"]).filter(pa.array(keep))
+        yield batch.drop_columns([own]).filter(pa.array(keep))
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:

@@ -254,7 +254,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """All rows and columns of ``docs`` with ``held_out, score, predicted`` after them, which replace columns so named.
+    """All rows and columns of ``docs`` with ``held_out, score, predicted`` after them, which replace columns so named;
+    a column ``llm_lower`` is dropped.
 
     Null texts are empty; empty texts have a score too.
     """
