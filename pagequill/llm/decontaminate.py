@@ -1,16 +1,15 @@
-"""Benchmark decontamination with SimHash windows and a multi-index over Hamming blocks.
-
-Windows of the sizes that benchmark items have run over each text. A window's fingerprint is the SimHash of its word
-shingles, kept as bit counters packed in 64-bit lanes so that one running sum serves every window. The fingerprint is
-cut into ``BLOCKS`` blocks; two fingerprints within ``RADIUS`` differ by at most RADIUS // BLOCKS bits in some block, so
-looking up every block value within that distance of an item's finds all fingerprints within the radius. What is found
-is verified by the weighted Jaccard similarity (shingles weighted by their number) of the best window of the item's
-own size nearby.
+"""Benchmark decontamination with an index of each item's rarest word shingles.
+
+A window that is similar enough to an item misses few of its shingles: of ``n``, at most ``n`` less the smallest whole
+number from THRESHOLD * n. So any choice of one more of them meets every such window. The index holds, for every item,
+that many shingles, those that the fewest items have; a text's shingles are looked up in it. Around what is found, all
+windows of the item's own size are compared by the weighted Jaccard similarity (shingles weighted by their number), so
+no leak is missed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,97 +20,65 @@ from pyspark.sql import functions as F
 
 from pagequill.llm.packing import ranges, runs
 from pagequill.llm.staging import ship
-from pagequill.llm.words import Texts, Words, mix, texts, window_hashes, word_table
+from pagequill.llm.words import Texts, Words, texts, window_hashes, word_table
 
 SIZE = 5
 THRESHOLD = 0.8
-RADIUS = 15
-BLOCKS = 4
-BITS = 64 // BLOCKS
-SIZE_STEP = 1.15  # between the window sizes of neighbouring classes
-STRIDES = 8  # window starts in the length of a window
 ITEMS_A_PASS = 20_000
 SCHEMA = "id long, item long, similarity double, first_word int, n_words int"
 SPLIT = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))  # white space and punctuation part words
 
 
 class Items:
-    """The fingerprints of benchmark items by size class, with the lookup of each block."""
+    """Benchmark items as shingles with their numbers, and the index of those that find them."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         column = pa.array([t for _, t in rows], pa.string())
         part = next(texts(column, 1 << 62), Texts(0, 0, np.empty(0, np.uint8), np.zeros(1, np.int64)))
         words = Words(part, SPLIT)
         hashes = words.hashes()
-        self.ids, self.shingles, self.sizes = [], [], []
+        self.ids, self.shingles, self.wanted, self.sizes = [], [], [], []
         for k, (item, _) in enumerate(rows):
             own = hashes[words.first[k] : words.first[k + 1]]
             if len(own):
+                shingles, wanted = np.unique(window_hashes(own, min(SIZE, len(own))), return_counts=True)
                 self.ids.append(item)
-                self.shingles.append(window_hashes(own, min(SIZE, len(own))))
+                self.shingles.append(shingles)
+                self.wanted.append(wanted)
                 self.sizes.append(len(own))
-        sizes = np.array(self.sizes)
-        step = np.floor(np.log(np.maximum(sizes, 1)) / np.log(SIZE_STEP) + 0.5).astype(int) if len(sizes) else sizes
-        self.classes = []
-        for c in np.unique(step):
-            items = np.flatnonzero(step == c)
-            size = int(np.median(sizes[items]))
-            marks = np.array([fingerprint(self.shingles[i]) for i in items], np.uint64)
-            self.classes.append((size, items, marks, [_lookup(marks, b) for b in range(BLOCKS)]))
-        self.counts = [Counter(s.tolist()) for s in self.shingles]
-
-
-def _near(radius: int) -> np.ndarray:
-    """All masks of a block with at most so many bits."""
-    values = np.arange(1 << BITS, dtype=np.uint32)
-    return values[np.bitwise_count(values) <= radius]
-
-
-def _block(marks: np.ndarray, b: int) -> np.ndarray:
-    return (marks >> np.uint64(b * BITS)).astype(np.int64) & ((1 << BITS) - 1)
-
-
-def _lookup(marks: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every block value the items near it: bounds into a list of items."""
-    near = _near(RADIUS // BLOCKS)
-    values = (_block(marks, b)[:, None] ^ near[None]).reshape(-1)
-    items = np.repeat(np.arange(len(marks), dtype=np.int32), len(near))
-    order = np.argsort(values, kind="stable")
-    bounds = np.zeros((1 << BITS) + 1, np.int32)
-    np.cumsum(np.bincount(values, minlength=1 << BITS), out=bounds[1:])
-    return bounds, items[order]
-
-
-def _spread(lanes: int) -> np.ndarray:
-    """Lane counters of the bits of 0 … 2 ** lanes - 1."""
-    values = np.arange(1 << lanes, dtype=np.uint64)
-    width = 64 // lanes
-    return sum((((values >> np.uint64(k)) & np.uint64(1)) << np.uint64(k * width) for k in range(lanes)), np.zeros(1 << lanes, np.uint64))
-
-
-class Counters:
-    """Running bit counts of shingle hashes; lanes of 8 bits hold windows of up to 255 shingles, of 32 bits all others."""
-
-    def __init__(self, hashes: np.ndarray, longest: int):
-        self.lanes = 8 if longest <= 255 else 2
-        table = _spread(self.lanes)
-        if self.lanes == 8:
-            groups = hashes.view(np.uint8).reshape(-1, 8)
-        else:
-            groups = ((hashes[:, None] >> (np.arange(32, dtype=np.uint64) * np.uint64(2))) & np.uint64(3)).astype(np.uint8)
-        self.sums = np.zeros((len(hashes) + 1, groups.shape[1]), np.uint64)
-        np.cumsum(table[groups], axis=0, out=self.sums[1:])
-
-    def marks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Fingerprints: each bit is set if more than half of the window's shingles have it."""
-        counts = (self.sums[ends] - self.sums[starts]).view(np.uint8 if self.lanes == 8 else np.uint32)
-        half = ((ends - starts) // 2).astype(counts.dtype)[:, None]
-        return np.packbits(counts.reshape(len(starts), 64) > half, axis=1, bitorder="little").view(np.uint64).reshape(-1)
-
-
-def fingerprint(hashes: np.ndarray) -> int:
-    ends = np.array([len(hashes)])
-    return int(Counters(hashes, len(hashes)).marks(np.zeros(1, np.int64), ends)[0])
+        self.tiny = [i for i, n in enumerate(self.sizes) if n < SIZE]
+        whole = [i for i, n in enumerate(self.sizes) if n >= SIZE]
+        every, holders = np.unique(np.concatenate([np.empty(0, np.uint64), *(self.shingles[i] for i in whole)]), return_counts=True)
+        probes, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for i in whole:
+            order = np.argsort(holders[np.searchsorted(every, self.shingles[i])], kind="stable")
+            spare = self.sizes[i] - SIZE + 1 - _least(self.sizes[i] - SIZE + 1)
+            chosen = order[: int(np.searchsorted(np.cumsum(self.wanted[i][order]), spare, "right")) + 1]
+            probes.append(self.shingles[i][chosen])
+            owners.append(np.full(len(chosen), i))
+        probe, owner = np.concatenate(probes), np.concatenate(owners)
+        order = np.argsort(probe, kind="stable")
+        self.owners = owner[order]
+        self.probes, self.counts = np.unique(probe, return_counts=True)
+        self.bounds = np.cumsum(self.counts) - self.counts
+        self.bits = np.uint64((1 << max(10, int(len(self.probes) * 8).bit_length())) - 1)
+        self.some = np.zeros(int(self.bits) + 1, bool)
+        self.some[self.probes & self.bits] = True
+
+    def find(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``spans`` of indexed shingles, each with the items they find."""
+        at = np.flatnonzero(self.some[spans & self.bits])
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.probes, spans[at]), len(self.probes) - 1)
+        real = self.probes[k] == spans[at]
+        at, k = at[real], k[real]
+        return np.repeat(at, self.counts[k]), self.owners[ranges(self.bounds[k], self.counts[k])]
+
+
+def _least(n: int) -> int:
+    """Of an item's ``n`` shingles those that a window over the threshold has at least."""
+    return math.ceil(THRESHOLD * n - 1e-9)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -181,65 +148,50 @@ def _matches(part: Texts, items: Items) -> list[tuple[int, int, float, int, int]
         return []
     hashes = words.hashes()
     spans = window_hashes(hashes, SIZE)
-    counters = Counters(spans, max(c[0] for c in items.classes)) if len(spans) else None
-    hits: set[tuple[int, int]] = set()
     seen: dict[tuple[int, int], tuple[float, int]] = {}
-    for size, members, marks, lookup in items.classes:
-        whole = size - SIZE + 1
-        if whole < 1:  # items of fewer words than a shingle are one shingle of their own
-            _tiny(words, hashes, size, members, items, seen)
-            continue
-        if counters is None:
-            continue
-        stride = max(1, size // STRIDES)
-        last = np.maximum(words.counts - size, 0)  # of the window starts; a shorter text is one window
-        count = np.where(words.counts >= SIZE, last // stride + 1, 0)
-        # windows begin at each stride, and one at the very end of the text
-        begin = ranges(np.zeros(len(count), np.int64), count) * stride
-        row = np.repeat(np.arange(len(count)), count)
-        tail = np.flatnonzero((words.counts >= SIZE) & (last % stride > 0))
-        begin, row = np.concatenate([begin, last[tail]]), np.concatenate([row, tail])
-        start = words.first[row] + begin
-        end = np.minimum(start + whole, words.first[row + 1] - SIZE + 1)
-        found = counters.marks(start, end)
-        for b, (bounds, near) in enumerate(lookup):
-            value = _block(found, b)
-            lo, n = bounds[value], bounds[value + 1] - bounds[value]
-            at = np.repeat(np.arange(len(found)), n)
-            item = near[ranges(lo.astype(np.int64), n.astype(np.int64))]
-            close = np.bitwise_count(found[at] ^ marks[item]) <= RADIUS
-            for w, i in zip(at[close].tolist(), members[item[close]].tolist(), strict=True):
-                hits.add((int(start[w]), i, int(row[w])))
-    for start, i, row in sorted(hits):
-        _verify(words, spans, hashes, items, start, i, row, seen)
+    _tiny(words, hashes, items, seen)
+    at, item = items.find(spans)
+    row = np.searchsorted(words.first, at, "right") - 1
+    inside = at + SIZE <= words.first[row + 1]
+    at, item, row = at[inside], item[inside], row[inside]
+    order = np.lexsort((at, item, row))
+    at, item, row = at[order], item[order], row[order]
+    for lo, hi in zip(*runs(row * len(items.ids) + item), strict=True):
+        r, i = int(row[lo]), int(item[lo])
+        best = _best(spans[words.first[r] : words.first[r + 1] - SIZE + 1], items, i, int(at[lo] - words.first[r]), int(at[hi - 1] - words.first[r]))
+        if best:
+            seen[r, i] = best
     return [(row, items.ids[i], score, start, items.sizes[i]) for (row, i), (score, start) in sorted(seen.items())]
 
 
-def _verify(words: Words, spans: np.ndarray, hashes: np.ndarray, items: Items, start: int, i: int, row: int, seen: dict) -> None:
-    """The best window of the item's own size that begins within a stride of ``start``."""
-    first, last = words.first[row], words.first[row + 1] - SIZE + 1
-    size = items.sizes[i] - SIZE + 1
-    want = items.counts[i]
-    reach = size // 4 + 1
-    lo, hi = max(first, start - reach), min(start + reach, max(first, last - size)) + 1
-    if seen.get((row, i), (0.0, 0))[0] == 1.0 or lo >= hi:
-        return
-    around = spans[lo : min(last, hi + size)].tolist()
-    if 2 * sum(h in want for h in around) < min(size, len(around)):
-        return  # not even half of the item is near
-    for s in range(lo, hi):
-        have = Counter(around[s - lo : s - lo + size])
-        both = sum(min(n, want[h]) for h, n in have.items() if h in want)
-        score = both / (have.total() + want.total() - both)
-        if score >= THRESHOLD and score > seen.get((row, i), (0.0, 0))[0]:
-            seen[row, i] = (score, int(s - first))
-
-
-def _tiny(words: Words, hashes: np.ndarray, size: int, members: np.ndarray, items: Items, seen: dict) -> None:
-    for i in members.tolist():
+def _best(spans: np.ndarray, items: Items, i: int, first: int, last: int) -> tuple[float, int] | None:
+    """Similarity and start of the best window of the item's own size that holds a place from ``first`` to ``last``."""
+    want = items.sizes[i] - SIZE + 1
+    size = min(want, len(spans))  # a shorter text is one window
+    lo, hi = max(0, first - size + 1), min(last, len(spans) - size) + 1
+    around = spans[lo : hi - 1 + size]
+    kind = np.minimum(np.searchsorted(items.shingles[i], around), len(items.shingles[i]) - 1)
+    place = np.flatnonzero(items.shingles[i][kind] == around)
+    if len(place) < _least(want):
+        return None
+    kind = kind[place]
+    order = np.argsort(kind, kind="stable")
+    kind, place = kind[order], place[order]
+    # a shingle counts in windows that hold fewer before it than the item has: those that begin after the last too many
+    back = np.arange(len(kind)) - items.wanted[i][kind]
+    after = np.where((back >= 0) & (kind[back] == kind), place[back] + 1, 0)
+    begin, end = np.maximum(after, place - size + 1), np.minimum(place, hi - lo - 1) + 1
+    some = begin < end
+    both = np.cumsum(np.bincount(begin[some], minlength=hi - lo + 1) - np.bincount(end[some], minlength=hi - lo + 1))[: hi - lo]
+    k = int(np.argmax(both))
+    score = float(both[k] / (size + want - both[k]))
+    return (score, lo + k) if score >= THRESHOLD else None
+
+
+def _tiny(words: Words, hashes: np.ndarray, items: Items, seen: dict) -> None:
+    """Items of fewer words than a shingle are one shingle of their own."""
+    for i in items.tiny:
         n = items.sizes[i]
-        if n >= SIZE:
-            continue
         for at in np.flatnonzero(window_hashes(hashes, n) == items.shingles[i][0]).tolist():
             row = int(np.searchsorted(words.first, at, "right")) - 1
             if at + n <= words.first[row + 1]:
