@@ -6,7 +6,8 @@ follows a few of its own shingles, chosen by a hash, so that similar sets choose
 together: such dense buckets are leaves as well. Leaves are compared set by set, in tiles of bounded size: first by small
 sketches, then, for sets that may have a partner, on the whole sets. A tile counts a link only in the first leaf that
 its two sets share, and what leaves it is one count for each set and the links that hold its sets together, never its
-pairs. Runs with new hashes are added until the recall, as estimated from what several runs find, reaches ``TARGET``.
+pairs. There are as many runs with new hashes as a link needs to be found with probability ``TARGET`` in the worst case:
+at the threshold, with every bucket that its sets share split ``LEVELS`` - 1 times. No other links bear on it.
 
 Equal sets are one class from the start, whatever the number of copies.
 """
@@ -37,11 +38,29 @@ LEVELS = len(CHOSEN)
 TARGET = 0.9999
 SKETCH = 48
 SKETCH_LEAST = 0.5  # of the sketch: five standard deviations below what the threshold gives
+DRAWS = 1 << 30  # steps of a draw by parent
 TILE = 1024
 TILE_BYTES = 32 << 20
 COLUMNS = 4096
 DROPPED = np.uint64(16)  # bits of a shingle hash that a set is sent without; 48 tell shingles of two sets apart
 
+
+def missed(runs: int, depth: int) -> float:
+    """At most the probability that ``runs`` miss a link at the threshold all of whose common buckets split ``depth`` times.
+
+    Deeper levels draw from the sketches, for each parent anew. Of a sketch two sets have K members in common.
+    """
+    out = 0.0
+    for k in range(SKETCH + 1):
+        survives = 1.0
+        for level in range(depth, 0, -1):
+            survives = 1 - (1 - CHOSEN[level] / (THRESHOLD * SKETCH) * survives) ** k
+        out += math.comb(SKETCH, k) * THRESHOLD**k * (1 - THRESHOLD) ** (SKETCH - k) * math.exp(-CHOSEN[0] * runs * survives)
+    return out
+
+
+RUNS = next(r for r in range(1, 100) if max(missed(r, d) for d in range(LEVELS)) <= 1 - TARGET)
+
 DESCRIBED = "ref long, id long, n int, sig_a long, sig_b long, sketch array<int>, chosen array<array<long>>"
 
 
@@ -79,7 +98,7 @@ def _left_over(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
 
 
 def _grouped(blocks: DataFrame) -> DataFrame:
-    described = stage(blocks.mapInArrow(lambda b: _describe(b, (0, 1)), DESCRIBED))
+    described = stage(blocks.mapInArrow(lambda b: _describe(b), DESCRIBED))
     first = F.min(F.struct("id", "ref", "n", "sketch", "chosen")).alias("c")
     classes = described.where("n > 0").groupBy("sig_a", "sig_b").agg(first, F.count("*").alias("copies"))
     classes = stage(classes.select("sig_a", "sig_b", "copies", "c.id", "c.ref", "c.n", "c.sketch", "c.chosen"))
@@ -104,21 +123,7 @@ def _grouped(blocks: DataFrame) -> DataFrame:
 
 def linked(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """``(a, null, links)``, the links of each class to other rows; ``(a, b, null)``, links that join all that are joined."""
-    runs = 2
-    while True:
-        if runs > 2:
-            chosen = blocks.select("block", "ids", "body").mapInArrow(lambda b, r=runs: _describe(b, tuple(range(r))), DESCRIBED).select("ref", "chosen")
-            classes = stage(classes.drop("chosen").join(chosen, "ref"))
-        found = _verify(blocks, classes, _plausible(classes, _leaves(classes, runs)))
-        seen = {r["b"]: r["links"] for r in found.where("a is null").groupBy("b").agg(F.sum("links").alias("links")).collect()}  # 2 ** runs at most
-        missed = 1.0
-        for run in range(runs):
-            others = sum(n for mask, n in seen.items() if mask & ~(1 << run))
-            both = sum(n for mask, n in seen.items() if mask & ~(1 << run) and mask >> run & 1)
-            missed *= 1 - both / others if others else 0.0
-        if missed <= 1 - TARGET or runs == 8:  # eight runs miss less than any estimate can tell
-            return found.where("a is not null")
-        runs += 1
+    return _verify(blocks, classes, _plausible(classes, _leaves(classes)))
 
 
 def _chosen(hashes: np.ndarray, sizes: np.ndarray, seed: int, common: float) -> np.ndarray:
@@ -143,7 +148,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], runs: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, ids, body in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "body")), strict=True):
             id_of, data = open_block(ids, body)
@@ -159,11 +164,10 @@ def _describe(batches: Iterator[pa.RecordBatch], runs: tuple[int, ...]) -> Itera
                         sig[k, full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5DEECE66D + k)), starts[full]).view(np.int64)
                 low = (np.arange(len(hashes)) - starts[rows]) < SKETCH
                 parts, counts = [], []
-                for run in runs:
-                    for level, common in enumerate(CHOSEN):
-                        pick = _chosen(hashes, sizes[rows], 1 + run * LEVELS + level, common)
-                        parts.append((rows[pick], hashes[pick]))
-                        counts.append(np.bincount(rows[pick], minlength=n))
+                for run in range(RUNS):
+                    pick = _chosen(hashes, sizes[rows], 1 + run * LEVELS, CHOSEN[0])
+                    parts.append((rows[pick], hashes[pick]))
+                    counts.append(np.bincount(rows[pick], minlength=n))
                 where = np.concatenate([r * len(parts) + k for k, (r, _) in enumerate(parts)])
                 order = np.argsort(where, kind="stable")
                 inner = _lists(np.concatenate([h for _, h in parts])[order].view(np.int64), np.stack(counts, 1).reshape(-1), pa.int64())
@@ -181,14 +185,19 @@ def _describe(batches: Iterator[pa.RecordBatch], runs: tuple[int, ...]) -> Itera
                 )
 
 
-def _leaves(classes: DataFrame, runs: int) -> DataFrame:
-    """``(leaf, held, mask, ref)``: the buckets to compare, with their size and the runs that made them, staged.
+def _drawn(level: int) -> Column:
+    """Of each set the members of its sketch that it follows from its bucket ``parent``; every parent draws by itself."""
+    share = F.least(F.lit(CHOSEN[level] / THRESHOLD) / F.least("n", F.lit(SKETCH)), F.lit(1.0)) * DRAWS
+    return F.explode(F.filter("sketch", lambda t: F.pmod(F.xxhash64(t, "parent", F.lit(7)), F.lit(DRAWS)) < share)).alias("token")
+
+
+def _leaves(classes: DataFrame) -> DataFrame:
+    """``(leaf, held, ref)``: the buckets to compare, with their size, staged.
 
     Of buckets with the same members one is kept.
     """
-    at = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("at")
-    token = lambda level: F.explode(F.col("chosen")[F.col("at") * LEVELS + level]).alias("token")
-    rows = classes.select("ref", at, "chosen").select("ref", "at", token(0)).select("ref", "at", F.xxhash64("at", "token").alias("leaf"))
+    rows = classes.select("ref", F.posexplode("chosen").alias("at", "tokens")).select("ref", "at", F.explode("tokens").alias("token"))
+    rows = rows.select("ref", F.xxhash64("at", "token").alias("leaf"))
     out = None
     for level in range(LEVELS):
         sizes = rows.groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
@@ -198,25 +207,25 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
         if last:
             leaves = rows
         else:
-            deeper = large.withColumnRenamed("leaf", "parent").join(classes.select("ref", "chosen"), "ref").select("ref", "at", "parent", "held", token(level + 1))
-            deeper = stage(deeper.select("ref", "at", "parent", "held", F.xxhash64("parent", "token").alias("leaf")))
+            deeper = large.withColumnRenamed("leaf", "parent").join(classes.select("ref", "n", "sketch"), "ref").select("ref", "parent", "held", _drawn(level + 1))
+            deeper = stage(deeper.select("ref", "parent", "held", F.xxhash64("parent", "token").alias("leaf")))
             parts = deeper.groupBy("parent", "leaf").agg(F.count("*").alias("part"), F.first("held").alias("held"))
             dense = stage(parts.groupBy("parent").agg(F.max(F.col("part") / F.col("held")).alias("most")).where(F.col("most") >= DENSE).select("parent"))
             dense_rows = large.join(dense, large["leaf"] == dense["parent"], "left_semi")
             leaves = rows.where(F.col("held") <= LIMIT).union(dense_rows)
-            rows = deeper.join(dense, "parent", "left_anti").select("ref", "at", "leaf")
+            rows = deeper.join(dense, "parent", "left_anti").select("ref", "leaf")
         out = leaves if out is None else out.union(leaves)
         if last:
             break
-    return stage(_merged(out.select("leaf", "ref", F.expr("shiftleft(1, at)").alias("mask"))))
+    return stage(_merged(out.select("leaf", "ref")))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """Of leaves with the same members one, with the runs of all; those of one member go."""
+    """Of leaves with the same members one; those of one member go."""
     both = F.sum(F.xxhash64("ref", F.lit(1)).cast("decimal(20,0)")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(2))).alias("y")
-    members = rows.groupBy("leaf").agg(F.count("*").alias("held"), F.bit_or("mask").alias("mask"), *both).where("held > 1")
-    kept = members.groupBy("held", "x", "y").agg(F.min("leaf").alias("leaf"), F.bit_or("mask").alias("mask"))
-    return rows.select("leaf", "ref").join(kept.select("leaf", "held", "mask"), "leaf")
+    members = rows.groupBy("leaf").agg(F.count("*").alias("held"), *both).where("held > 1")
+    kept = members.groupBy("held", "x", "y").agg(F.min("leaf").alias("leaf"))
+    return rows.select("leaf", "ref").join(kept.select("leaf", "held"), "leaf")
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
@@ -238,16 +247,16 @@ def _plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
     """The rows of ``leaves`` that, by their sketches, may be linked with another set of the leaf, staged."""
     rows = leaves.join(classes.select("ref", "n", "sketch"), "ref")
     tiles = _tiled(rows)
-    near = _groups(tiles, tiles.count() * (4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, mask int, ref long")
+    near = _groups(tiles, tiles.count() * (4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, ref long")
     return stage(_merged(stage(near.distinct())))
 
 
 def _verify(blocks: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Counts and joining links as :func:`linked` returns them, and ``(null, mask, links)`` for the runs' shares, staged."""
-    lists = near.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("leaf", "mask"))).alias("leaves"))
+    """Counts and joining links as :func:`linked` returns them, staged."""
+    lists = near.groupBy("ref").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     wanted = lists.join(classes.select("ref", "copies"), "ref").withColumn("block", F.shiftright("ref", ROW_BITS))
-    wanted = wanted.select("block", "ref", "copies", F.col("leaves.leaf").alias("leaves"), F.col("leaves.mask").alias("masks"))
-    sets = rows_of(blocks, wanted, _fetch, "ref long, copies long, leaves array<long>, masks array<int>, body binary", ("ids", "body"))
+    wanted = wanted.select("block", "ref", "copies", "leaves")
+    sets = rows_of(blocks, wanted, _fetch, "ref long, copies long, leaves array<long>, body binary", ("ids", "body"))
     size = _tiled(near.join(classes.select("ref", "n"), "ref")).agg(F.sum(F.lit(100) + 8 * F.col("n"))).first()[0] or 0
     rows = near.select("ref", "leaf", "held").join(sets, "ref")
     return stage(_groups(_tiled(rows), size).applyInArrow(_compare, "a long, b long, links long"))
@@ -265,7 +274,9 @@ def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
             for row, lo, hi in zip(rows[(r := runs_of(rows))[0]].tolist(), *r, strict=True):
                 body[seen + row] = pack(deltas(hashes[lo:hi] >> DROPPED))  # sorted, so small steps
             seen += part.hi - part.lo
-    return right.drop_columns(["block"]).append_column("body", pa.array(body, pa.binary()))
+    leaves = right.column("leaves").cast(pa.list_(pa.int64()))  # Spark declares its items never null
+    out = {"ref": right.column("ref"), "copies": right.column("copies"), "leaves": leaves, "body": pa.array(body, pa.binary())}
+    return pa.table(out)
 
 
 def _by_tile(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -317,16 +328,15 @@ def _sketched(table: pa.Table) -> pa.Table:
             np.fill_diagonal(near, False)
         keep[a[near.any(1)]] = True
         keep[b[near.any(0)]] = True
-    return table.select(["leaf", "mask", "ref"]).filter(pa.array(keep))
+    return table.select(["leaf", "ref"]).filter(pa.array(keep))
 
 
 def _compare(table: pa.Table) -> pa.Table:
     bodies = table.column("body").to_pylist()
     ref, copies, leaf = (table.column(c).to_numpy() for c in ("ref", "copies", "leaf"))
-    leaves, masks = (table.column(c).combine_chunks() for c in ("leaves", "masks"))
-    bounds, flat, runs = leaves.offsets.to_numpy(), leaves.values.to_numpy(), masks.values.to_numpy()
+    leaves = table.column("leaves").combine_chunks()
+    bounds, flat = leaves.offsets.to_numpy(), leaves.values.to_numpy()
     counts: dict[int, int] = {}
-    shares: dict[int, int] = {}
     edges: list[tuple[int, int]] = []
     for a, b in _by_tile(table):
         if not len(a) or not len(b) or (a is b and len(a) < 2):
@@ -344,19 +354,12 @@ def _compare(table: pa.Table) -> pa.Table:
         earlier = _shared([p[p < own] for p in paths[0]], [p[p < own] for p in paths[1]], a is b) > 0
         links &= ~earlier
         i, j = np.nonzero(links)
-        made = np.zeros(links.shape, np.int64)
-        every = np.bitwise_or.reduce(runs) if len(runs) else 0
-        for run in range(int(every).bit_length()):
-            chosen = [[flat[bounds[k] : bounds[k + 1]][runs[bounds[k] : bounds[k + 1]] >> run & 1 > 0] for k in side] for side in (a, b)]
-            made |= (_shared(*chosen, a is b) > 0).astype(np.int64) << run
-        for mask, n in zip(*np.unique(made[i, j], return_counts=True), strict=True):
-            shares[int(mask)] = shares.get(int(mask), 0) + int(n)
         for mine, theirs, many in ((a, b, links), (b, a, links.T)):
             for k, n in zip(mine.tolist(), (many @ copies[theirs]).tolist(), strict=True):
                 if n:
                     counts[int(ref[k])] = counts.get(int(ref[k]), 0) + n
         edges += _joining(ref[a[i]].tolist(), ref[b[j]].tolist())
-    rows = [(k, None, n) for k, n in counts.items()] + [(x, y, None) for x, y in edges] + [(None, m, n) for m, n in shares.items()]
+    rows = [(k, None, n) for k, n in counts.items()] + [(x, y, None) for x, y in edges]
     return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "links"))})
 
 

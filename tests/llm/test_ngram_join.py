@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -8,6 +9,8 @@ from pagequill.llm import ngram_join
 from pagequill.llm.components import components
 from pagequill.llm.ngram_join import one_of_each_group, similar_documents
 
+from .conftest import DOCS, prose
+
 
 def brute(rows):
     """(id, n_links) of every row, and the groups as sets of row numbers."""
@@ -50,6 +53,26 @@ def test_links_and_groups_equal_brute_force(docs, texts, limit, monkeypatch):
     assert sorted(((r["id"], r["component_id"]) for r in got), key=str) == expected
 
 
+@pytest.mark.parametrize(("limit", "pairs"), [(1024, 12_000), (1, 3000)])
+def test_a_hot_group_does_not_decide_for_borderline_links(spark, limit, pairs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIMIT", limit)  # at 1, every bucket of a pair is split
+    rng = random.Random(23)
+    rows = []
+    for k in range(pairs):
+        words = prose(rng, 49).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:20], "changed", *words[21:]]))]  # 40 of 50
+    hot = prose(rng, 300)
+    rows += [(10**6 + k, f"{hot} {prose(rng, 4)}") for k in range(400)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 9, "r", "i", 3, "s", 2) for i, t in rows], DOCS).repartition(3)
+    got = {r["id"]: r["n_links"] for r in similar_documents(frame).collect()}
+    assert got == {i: 1 if i < 10**6 else 399 for i, _ in rows}
+
+
+def test_runs_are_those_of_the_worst_case():
+    for depth in range(ngram_join.LEVELS):
+        assert ngram_join.missed(ngram_join.RUNS, depth) <= 1 - ngram_join.TARGET
+
+
 def test_one_row_of_each_group_stays_whole(docs, texts):
     kept = one_of_each_group(docs)
     assert kept.columns == docs.columns
