@@ -3,10 +3,11 @@
 The model's pieces and scores come from its file. A text is split into chunks that no piece crosses: a run of spaces
 with the characters up to the next space, line ends by themselves. In a chunk, adjacent symbols whose join is a piece
 are merge candidates; an agenda merges the best one first, the leftmost of equals. A candidate is skipped for good if a
-hash keyed by the seed, the chunk's variant, its place and its two symbols is below the dropout. A chunk's variant is a
-keyed hash of the text's id and the chunk's place, so that one word is cut in up to ``VARIANTS`` ways in the corpus.
+hash keyed by the seed, the text's id, the chunk's place in the text, and the candidate's place and two symbols is below
+the dropout: every occurrence of a word draws for itself.
 
-Chunks of a batch are worked on side by side in numpy, each different one once; results are kept for later batches.
+Chunks of a batch are worked on side by side in numpy. Of each different one the way without skips is worked out once
+and kept, with its candidates; occurrences that skip none of them have its result, all others are merged by themselves.
 Spaces become the piece file's space mark, one more goes before the text, and characters without a piece (the mark
 itself among them) become byte pieces: so decoding gives back every text byte by byte.
 """
@@ -28,9 +29,9 @@ from pagequill.llm.words import BYTE_PRIME, Texts, inverse, mix, powers, prefix,
 
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
 LONG = 64
-KEPT_CHUNKS = 1_500_000
+KEPT_CHUNKS = 500_000
+SIDE_BY_SIDE = 30_000
 MARK = "▁"
 NEVER = np.int64(1 << 62)
 
@@ -107,8 +108,15 @@ class Pieces:
 def _skipped(seed: int, variant: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, dropout: float) -> np.ndarray:
     if dropout <= 0:
         return np.zeros(len(place), bool)
-    key = mix((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
-    key = mix(key ^ (place.astype(np.uint64) << np.uint64(20)) ^ variant.astype(np.uint64) ^ mix(np.array([seed], np.uint64)))
+    return _drawn(seed, variant.astype(np.uint64), _candidate(place, left, right), dropout)
+
+
+def _candidate(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) ^ (place.astype(np.uint64) << np.uint64(20))
+
+
+def _drawn(seed: int, variant: np.ndarray, candidate: np.ndarray, dropout: float) -> np.ndarray:
+    key = mix(candidate ^ variant ^ mix(np.array([seed], np.uint64)))
     return (key >> np.uint64(11)).astype(np.float64) / 2.0**53 < dropout
 
 
@@ -143,8 +151,11 @@ def merge_one(pieces: Pieces, symbols: list[int], variant: int, seed: int, dropo
     return [k for k in ids if k >= 0]
 
 
-def merge_many(pieces: Pieces, ids: np.ndarray, counts: np.ndarray, variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """The agenda of many chunks side by side: each round merges the best candidate of every chunk that has one."""
+def merge_many(pieces: Pieces, ids: np.ndarray, counts: np.ndarray, variants: np.ndarray, seed: int, dropout: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The agenda of many chunks side by side: each round merges the best candidate of every chunk that has one.
+
+    All candidates go to ``offered``, each with its chunk.
+    """
     ids = ids.copy()
     chunk = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -157,6 +168,9 @@ def merge_many(pieces: Pieces, ids: np.ndarray, counts: np.ndarray, variants: np
         found = pieces.find(ids[at], ids[at + 1])
         found[(chunk[at] != chunk[at + 1]) | _skipped(seed, variants[chunk[at]], place[at], ids[at], ids[at + 1], dropout)] = -1
         merge[at] = found
+        if offered is not None:
+            some = at[found >= 0]
+            offered.append((chunk[some], _candidate(place[some], ids[some], ids[some + 1])))
         order[at] = np.where(found >= 0, (pieces.rank[found] << np.int64(20)) | place[at], NEVER)
 
     if len(ids) > 1:
@@ -198,19 +212,20 @@ def merge_many(pieces: Pieces, ids: np.ndarray, counts: np.ndarray, variants: np
 
 
 class Encoder:
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
         self.pieces = Pieces(path)
-        self.seed, self.dropout, self.variants = seed, dropout, variants if dropout > 0 else 1
+        self.seed, self.dropout = seed, dropout
         self._forget()
 
     def _forget(self) -> None:
+        """Of each chunk: its key, its place in three flat arrays, and how much of each is its own."""
         self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
-        self.flat = np.empty(0, np.int32)
+        self.at = np.empty((0, 3), np.int64)
+        self.sizes = np.empty((0, 3), np.int64)
+        self.flat = [np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint64)]  # pieces, first symbols, candidates
 
     def encode(self, part: Texts, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all texts, one after the other, and the number of each text. ``names`` seeds the variants."""
+        """Piece ids of all texts, one after the other, and the number of each text. ``names`` seeds the draws."""
         starts, ends, first = self._chunks(part)
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(names), np.int64)
@@ -218,15 +233,36 @@ class Encoder:
         head = np.zeros(len(starts), np.uint64)
         head[first[:-1][np.diff(first) > 0]] = 1
         number = (np.arange(len(starts)) - first[rows]).astype(np.uint64)
-        variant = mix(mix(names.view(np.uint64)[rows] ^ np.uint64(self.seed)) ^ number) % np.uint64(self.variants)
+        variant = mix(mix(names.view(np.uint64)[rows] ^ np.uint64(self.seed)) ^ number)
         sums = prefix(part.data.astype(np.uint64) + np.uint64(1), BYTE_PRIME)
         spelled = (sums[ends] - sums[starts]) * powers(inverse(BYTE_PRIME), len(sums))[starts]
-        keys, one, back = np.unique(mix(mix(spelled) ^ (head << np.uint64(62)) ^ variant), return_index=True, return_inverse=True)
-        self._learn(keys, part.data, starts[one], ends[one], head[one], variant[one])
+        keys, one, back = np.unique(mix(mix(spelled) ^ (head << np.uint64(62))), return_index=True, return_inverse=True)
+        self._learn(keys, part.data, starts[one], ends[one], head[one])
         found = np.searchsorted(self.keys, keys)[back]
-        sizes = self.sizes[found]
-        ids = self.flat[ranges(self.at[found], sizes)]
-        return ids, np.bincount(rows, sizes, len(names)).astype(np.int64)
+        sizes = self.sizes[found, 0]
+        own = np.zeros(len(found), bool)
+        for lo in range(0, len(found) if self.dropout > 0 else 0, SIDE_BY_SIDE):
+            own[lo : lo + SIDE_BY_SIDE] = self._differs(found[lo : lo + SIDE_BY_SIDE], variant[lo : lo + SIDE_BY_SIDE])
+        anew = np.flatnonzero(own)
+        merged = []
+        for lo in range(0, len(anew), SIDE_BY_SIDE):
+            some = anew[lo : lo + SIDE_BY_SIDE]
+            counts = self.sizes[found[some], 1]
+            sizes[some], ids = self._merged(self.flat[1][ranges(self.at[found[some], 1], counts)], counts, variant[some])
+            merged.append(ids)
+        out = np.empty(int(sizes.sum()), np.int32)
+        place = np.cumsum(sizes) - sizes
+        out[ranges(place[~own], sizes[~own])] = self.flat[0][ranges(self.at[found[~own], 0], sizes[~own])]
+        if merged:
+            out[ranges(place[anew], sizes[anew])] = np.concatenate(merged)
+        return out, np.bincount(rows, sizes, len(names)).astype(np.int64)
+
+    def _differs(self, found: np.ndarray, variant: np.ndarray) -> np.ndarray:
+        """Which occurrences skip a candidate of the way without skips. Of long chunks that way is not kept."""
+        counts = self.sizes[found, 2]
+        drawn = _drawn(self.seed, np.repeat(variant, counts), self.flat[2][ranges(self.at[found, 2], counts)], self.dropout)
+        of = np.repeat(np.arange(len(found)), counts)
+        return (np.bincount(of[drawn], minlength=len(found)) > 0) | (self.sizes[found, 1] > LONG)
 
     def _chunks(self, part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         space, line = part.data == 32, part.data == 10
@@ -236,7 +272,7 @@ class Encoder:
         starts = np.flatnonzero(start)
         return starts, np.append(starts[1:], len(part.data)), np.searchsorted(starts, part.bounds)
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray, variant: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray) -> None:
         if len(self.keys) > KEPT_CHUNKS:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -271,14 +307,28 @@ class Encoder:
             before = np.cumsum(counts) - counts
             flat = np.insert(flat, before[head[new] > 0], self.pieces.space)
             counts = counts + (head[new] > 0)
-        sizes, ids = self._merged(flat.astype(np.int32), counts, variant[new])
-        base = len(self.flat)
+        flat = flat.astype(np.int32)
+        offered: list[tuple[np.ndarray, np.ndarray]] = []
+        if self.dropout > 0:
+            short = np.flatnonzero(counts <= LONG)
+            sizes = np.zeros(len(counts), np.int64)
+            candidates = np.zeros(len(counts), np.int64)
+            symbols = flat[ranges((np.cumsum(counts) - counts)[short], counts[short])]
+            ids, sizes[short] = merge_many(self.pieces, symbols, counts[short], np.zeros(len(short), np.uint64), self.seed, 0.0, offered)
+            of, offers = (np.concatenate([x[k] for x in offered]) if offered else np.empty(0, np.int64) for k in (0, 1))
+            offers = offers.astype(np.uint64)[np.argsort(of, kind="stable")]
+            candidates[short] = np.bincount(of, minlength=len(short))
+        else:
+            sizes, ids = self._merged(flat, counts, np.zeros(len(counts), np.uint64))
+            offers, candidates = np.empty(0, np.uint64), np.zeros(len(counts), np.int64)
+        all_sizes = np.stack([sizes, counts, candidates], 1)
+        base = np.array([len(f) for f in self.flat])
         all_keys = np.concatenate([self.keys, keys[new]])
         order = np.argsort(all_keys, kind="stable")
         self.keys = all_keys[order]
-        self.at = np.concatenate([self.at, base + np.cumsum(sizes) - sizes])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
-        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.concatenate([self.at, base + np.cumsum(all_sizes, axis=0) - all_sizes])[order]
+        self.sizes = np.concatenate([self.sizes, all_sizes])[order]
+        self.flat = [np.concatenate([f, more]) for f, more in zip(self.flat, (ids, flat, offers), strict=True)]
 
     def _spelled(self, raw: bytes) -> list[int]:
         out: list[int] = []
@@ -317,7 +367,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """``(id, n_pieces, piece_ids, n_bytes, lossless)`` for each row of ``docs``.
 
     ``lossless`` says that decoding ``piece_ids`` gave the text's own bytes. Null and empty texts have no pieces. A null
-    id has the variants of the smallest long. Other columns are ignored.
+    id draws as the smallest long does. Other columns are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

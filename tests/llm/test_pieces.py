@@ -9,6 +9,7 @@ import sentencepiece
 
 from pagequill.llm.pieces import Encoder, encode_texts, merge_many, merge_one
 from pagequill.llm.queries import TOKENIZERS
+from pagequill.llm.words import mix
 from pagequill.llm.words import texts as parts
 
 from .conftest import prose
@@ -55,6 +56,33 @@ def test_side_by_side_is_the_agenda():
         assert side == [merge_one(encoder.pieces, s, int(v), 9, dropout) for s, v in zip(symbols, variants, strict=True)]
 
 
+def test_every_occurrence_draws_for_itself():
+    encoder, n = Encoder(FILE), 400
+    for word in ("information", "x" * 70):
+        symbols = encoder.pieces.symbols(" " + word)
+        free = [tuple(merge_one(encoder.pieces, symbols, k, 99, 0.1)) for k in range(n)]
+        ids = pieces_of(encoder, [f"{word} {word}"] * n)
+        head = len(encoder.pieces.symbols(word))
+        second = []
+        for row in ids:  # what follows the first word
+            size, k = 0, 0
+            while size < head + 1:
+                size, k = size + int(encoder.pieces.lengths[row[k]]), k + 1
+            second.append(tuple(row[k:]))
+        plain = max(set(free), key=free.count)
+        assert len(set(second)) > len(set(free)) / 2 > 4
+        assert abs(second.count(plain) - free.count(plain)) < 0.15 * n
+
+
+def test_kept_ways_are_the_agenda():
+    encoder, rng = Encoder(FILE), random.Random(4)
+    words = prose(rng, 500).split()
+    ids = pieces_of(encoder, [" ".join(words)])[0]
+    key = mix(mix(np.zeros(1, np.int64).view(np.uint64) ^ np.uint64(encoder.seed)) ^ np.arange(len(words), dtype=np.uint64))
+    expected = [merge_one(encoder.pieces, encoder.pieces.symbols(" " + w), int(v), encoder.seed, encoder.dropout) for w, v in zip(words, key, strict=True)]
+    assert ids == sum(expected, [])
+
+
 def test_table(docs, texts, none):
     got = encode_texts(docs, FILE).collect()
     assert all(r["lossless"] for r in got) and len(got) == len(texts)
