@@ -85,10 +85,97 @@ SELECT r.id AS doc_id, coalesce(c.class_id, r.id) AS class_id, r.component_id, (
 FROM roots r LEFT JOIN classes c ON c.doc_id = r.id
 """
 
+FILTERS = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda f, i: [
+    len(words) < 100,
+    100 * len(list_distinct(words)) < 80 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(s.doc_id > min(s.doc_id) OVER (PARTITION BY text), false)][i]) AS fails
+  FROM split s LEFT JOIN marks m ON m.doc_id = s.doc_id
+),
+counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failed GROUP BY ALL
+),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders JOIN letters ON NOT contains(o, f)),
+steps AS (
+  SELECT o AS filter_order, step, o[step] AS f, list_filter(string_split(o, ''), lambda c, i: i < step) AS earlier
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) WHERE length(o) = 5
+),
+measured AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (WHERE NOT list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE list_contains(fails, f) AND list_has_any(fails, earlier)), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = [f]), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS toxic_lost
+  FROM counted, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM measured
+"""
+
+COPIES = r"""
+WITH plain AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+placed AS (
+  SELECT doc_id, norm, first_value(doc_id) OVER best AS keep_id, row_number() OVER best AS place, count(*) OVER (PARTITION BY norm) AS group_size
+  FROM plain WINDOW best AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM placed
+"""
+
+DIVERGENCE = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+said AS (SELECT r, lang, source, unnest(terms) AS term FROM rows),
+kept AS (SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+grps AS (SELECT DISTINCT lang, source FROM rows),
+counts AS (SELECT lang, source, term, count(*) AS n FROM said GROUP BY ALL),
+filled AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n, count(*) OVER (PARTITION BY g.lang, g.source) AS v
+  FROM grps g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+shares AS (
+  SELECT *, 1 + (1000000000 * (n + 5)::HUGEINT) // (total + 5 * v) AS p,
+    1 + (1000000000 * (lang_n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM filled
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((
+    SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y ON y.lang = x.lang AND y.term = x.term
+    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM grps a JOIN grps b ON b.lang = a.lang AND b.source <> a.source
+),
+all_parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM all_parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLES = {
     "op1_embedding_near_dedup": EMBEDDINGS,
     "op2_chat_format": CHAT,
     "op4_substring_dedup": SUBSTRING,
     "op6_url_filters": URLS,
     "op9_ngram_jaccard_join": NGRAMS,
+    "op11_filter_interaction_audit": FILTERS,
+    "op12_exact_dedup": COPIES,
+    "op13_source_divergence": DIVERGENCE,
 }

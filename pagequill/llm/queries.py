@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from pagequill.llm.chat import format_conversations, read_back, unescape
 from pagequill.llm.decontaminate import leaks
+from pagequill.llm.digests import deduplicate, new_index
+from pagequill.llm.divergence import source_divergence
 from pagequill.llm.embeddings import near_vectors
+from pagequill.llm.filter_audit import audit_filters
 from pagequill.llm.pagetext import extract_text
 from pagequill.llm.quality import score_quality
 from pagequill.llm.quality import train as train_quality
@@ -110,6 +114,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicate(table(spark, sf_dir, "documents"), new_index(spark, f"llm-index-{uuid.uuid4().hex}"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_chat_format": op2_chat_format,
@@ -121,4 +138,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
