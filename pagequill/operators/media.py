@@ -11,13 +11,13 @@ from ..functions.html import attr_first, attr_last, attributes, is_open
 from ..functions.markdown import ABSOLUTE_PREFIXES, IMG_TAG, LINK, link_parts
 from ..functions.text import image_name
 from ..functions.urls import is_blocked_host, resolve_url, url_host
+from ..sources.staging import stage
 from .blocks import image_source
+from .fetchlog import accept_image_responses
 from .naming import IMAGE_NAME_PARTS, assign_names, split_name
+from .running import join_by_block, range_of
 from .tokens import with_tokens
 
-# Pages per block when image names are ranked in page order.
-PAGES_PER_BLOCK = 4_096
-
 
 @cached_column
 def image_array(column: str = "tokens") -> Column:
@@ -122,13 +122,18 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def plan_attachments(
-    images: DataFrame, existing: DataFrame | None = None, conflict: str = "suffix"
+    images: DataFrame, existing: DataFrame | None = None, conflict: str = "suffix", responses: DataFrame | None = None
 ) -> DataFrame:
     """(page_id, url, pos, src, alt, width) -> (page_id, src_abs, filename, width).
 
     Inline, scheme-relative and blocked sources drop out; names are unique over the
     whole output in page order; of several uses of a source on a page the last counts.
     ``existing`` holds the file names already there.
+
+    ``responses`` (url, status_code, content_type, and page_id if pages fetched for themselves) says how fetching the
+    images ended; a source is saved if one of its responses is an accepted image. One that is not saved is not in the
+    plan. Its name stays taken for the rest of its page and is free for later pages. Without ``responses`` every
+    planned image counts as saved.
     """
     src = strip(F.col("src"))
     absolute = F.when(starts_with_any(src, ("http://", "https://")), src).otherwise(resolve_url(F.col("url"), src))
@@ -142,14 +147,18 @@ def plan_attachments(
             "src_abs",
             "width",
             F.struct("page_id", "pos").alias("seq"),
-            F.floor(F.col("page_id") / PAGES_PER_BLOCK).cast("bigint").alias("block"),
+            F.col("page_id").cast("bigint").alias("place"),
             *split_name(F.col("wanted"), IMAGE_NAME_PARTS),
         )
     )
+    if responses is not None:
+        wanted = _with_saved(stage(wanted), responses)
     taken = None
     if existing is not None:
         taken = existing.select(*split_name(F.col("filename"), IMAGE_NAME_PARTS))
     named = assign_names(wanted, taken, conflict).filter(F.col("assigned").isNotNull())
+    if responses is not None:
+        named = named.filter("saved")
     last = F.max_by(F.struct(F.col("assigned").alias("filename"), "width"), "seq")
     return (
         named.groupBy("page_id", "src_abs")
@@ -163,6 +172,16 @@ def plan_attachments(
     )
 
 
+def _with_saved(wanted: DataFrame, responses: DataFrame) -> DataFrame:
+    """Add ``saved``. An image that a third of all pages show meets its response once per range of pages."""
+    keys = ["page_id", "src_abs"] if "page_id" in responses.columns else ["src_abs"]
+    accepted = accept_image_responses(responses).withColumnRenamed("url", "src_abs")
+    accepted = accepted.select(*keys).distinct().withColumn("saved", F.lit(True))
+    ranged = wanted.withColumn("range", range_of(wanted, "place"))
+    met = join_by_block(ranged, accepted, keys, "range").drop("range")
+    return met.withColumn("saved", F.coalesce("saved", F.lit(False)))
+
+
 def embed_text(markdown: Column, embeds: Column) -> Column:
     """Replace links to planned images by embeds; ``embeds`` maps source to embed text, null for no images."""
 

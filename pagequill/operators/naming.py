@@ -8,25 +8,36 @@ ways: they ask for the same name, or one asks for ``x`` and the other for ``x-k`
   blocks so that a name asked for by a third of all pages is spread over many tasks.
 * ``x`` against ``x-k``: only the distinct names ``x-k`` matter, not their rows. Such
   a name is free for its first own request unless the overflow of ``x`` got there
-  before. Whether it did depends on the parent and on smaller siblings only, so the
-  answers are found by repeating one set-based round until nothing changes.
+  before. Whether it did depends on how many smaller siblings keep their names, so
+  each sibling is a step that maps the number kept so far. Steps are composed per
+  block of siblings, all blocks at once; one pass along the blocks of a parent gives
+  the number each block starts from. What stays open depends on whether ``x`` itself
+  keeps its name, which is asked up the nesting of ``-k-k``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..sources.staging import stage
-from .running import block_of, carry, join_by_block, running_total
+from .reserving import FAMILY, first_kept, free_places, numbered_one_by_one, root_of
+from .running import block_of, carry, join_by_block, range_of, running_total
 
 CONFLICT_MODES = ("suffix", "overwrite", "skip")
 NAME = ["stem", "ext"]
 PARENT = ["parent", "ext"]
+# Numbers of siblings in one block of steps.
+SIBLINGS = 256
 
 # A tail a suffix counter can produce: 2, 3, ... without leading zeros.
 _TAIL = r"^([\s\S]*)-([2-9]|[1-9][0-9]{1,17})$"
+# Above every number of siblings: the bar of a name that is taken from the start.
+_ALWAYS = 1 << 62
 
 NOTE_NAME_PARTS = r"^([\s\S]+)(\.[^.]+)$"
 IMAGE_NAME_PARTS = r"^([\s\S]*)(\.[^.]*)$"
@@ -44,12 +55,12 @@ def split_name(name: Column, parts: str) -> tuple[Column, Column]:
 def assign_note_paths(notes: DataFrame, catalogue: DataFrame | None, conflict: str = "suffix") -> DataFrame:
     """(seq, name) -> (seq, name, path, action, final).
 
-    ``catalogue`` holds the paths of earlier runs. ``seq`` is the input order, unique
-    and near dense. ``action`` is new, suffixed, overwrite or skip; ``path`` is null for
+    ``catalogue`` holds the paths of earlier runs. ``seq`` is the input order: whole
+    numbers, unique, however far apart. ``action`` is new, suffixed, overwrite or skip; ``path`` is null for
     skip; ``final`` marks the request whose content ends up under the path.
     """
     requests = notes.select(
-        "seq", block_of(F.col("seq")).alias("block"), "name", *split_name(F.col("name"), NOTE_NAME_PARTS)
+        "seq", F.col("seq").cast("bigint").alias("place"), "name", *split_name(F.col("name"), NOTE_NAME_PARTS)
     )
     taken = None
     if catalogue is not None:
@@ -59,15 +70,23 @@ def assign_note_paths(notes: DataFrame, catalogue: DataFrame | None, conflict: s
 
 
 def assign_names(requests: DataFrame, taken: DataFrame | None, conflict: str) -> DataFrame:
-    """Add ``assigned``, ``action`` and ``final`` to requests (seq, block, stem, ext, ...)."""
+    """Add ``assigned``, ``action`` and ``final`` to requests (seq, place, stem, ext, ...).
+
+    ``seq`` orders the requests; ``place``, a whole number that grows with it, cuts them into ranges. With a boolean
+    column ``saved`` the requests of one ``place`` are a page, and a name that is not saved is free on the next page.
+    """
     if conflict not in CONFLICT_MODES:
         raise ValueError(f"unknown conflict mode: {conflict}")
     requests = stage(requests)
+    requests = requests.withColumn("block", range_of(requests, "place"))
     if taken is None:
         taken = requests.select(*NAME).limit(0)
     taken = stage(taken.distinct().withColumn("cat", F.lit(True)))
+    may_fail = "saved" in requests.columns
     if conflict == "suffix":
-        return _suffixed(requests, taken)
+        return _suffixed_or_failed(requests, taken) if may_fail else _suffixed(requests, taken)
+    if conflict == "skip" and may_fail:
+        requests = stage(first_kept(requests))
     ranked = _ranked(requests, taken)
     own = F.concat("stem", "ext")
     fresh = (F.col("rank") == 1) & ~F.col("cat")
@@ -78,8 +97,10 @@ def assign_names(requests: DataFrame, taken: DataFrame | None, conflict: str) ->
             F.when(fresh, F.lit("new")).otherwise("overwrite").alias("action"),
             (F.col("rank") == F.col("total")).alias("final"),
         )
+    if may_fail:
+        fresh = F.col("fresh") & ~F.col("cat")
     return ranked.select(
-        *requests.columns,
+        *[c for c in requests.columns if c != "fresh"],
         F.when(fresh, own).alias("assigned"),
         F.when(fresh, F.lit("new")).otherwise("skip").alias("action"),
         fresh.alias("final"),
@@ -116,8 +137,9 @@ def _tail_number(stem: Column) -> Column:
 
 
 def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
-    """Distinct names ``x-k`` (asked for or taken) whose parent ``x`` may overflow.
+    """Distinct names ``x-k`` (asked for or taken) whose parent ``x`` may overflow as far as ``k``.
 
+    Overflow never passes the number of requests for the parent and of its siblings together.
     Columns: stem, ext, parent, k, k_block, cat, first_seq, first_block.
     """
     has_tail = F.col("stem").rlike(_TAIL)
@@ -130,20 +152,25 @@ def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
         *NAME,
         _tail_parent(F.col("stem")).alias("parent"),
         _tail_number(F.col("stem")).alias("k"),
-        block_of(_tail_number(F.col("stem"))).alias("k_block"),
+        F.floor(_tail_number(F.col("stem")) / SIBLINGS).cast("bigint").alias("k_block"),
         F.coalesce("cat", F.lit(False)).alias("cat"),
         "first_seq",
         "first_block",
     )
+    kids = stage(kids)
     parents = (
         requests.groupBy(*NAME)
         .agg(F.count("*").alias("n"))
         .join(taken, NAME, "left")
         .filter((F.col("n") > 1) | F.col("cat") | has_tail)
-        .select(F.col("stem").alias("parent"), "ext")
+        .select(F.col("stem").alias("parent"), "ext", "n")
     )
-    return join_by_block(kids, parents, PARENT, "k_block", "inner").select(
-        *NAME, "parent", "k", "k_block", "cat", "first_seq", "first_block"
+    siblings = kids.groupBy(*PARENT).agg(F.count("*").alias("siblings"))
+    reach = parents.join(siblings, PARENT).select(*PARENT, (F.col("n") + F.col("siblings") + 1).alias("reach"))
+    return (
+        join_by_block(kids, reach, PARENT, "k_block", "inner")
+        .filter(F.col("k") <= F.col("reach"))
+        .select(*NAME, "parent", "k", "k_block", "cat", "first_seq", "first_block")
     )
 
 
@@ -183,29 +210,148 @@ def _with_requests_before(kids: DataFrame, requests: DataFrame, taken: DataFrame
     )
 
 
-def _settle(kids: DataFrame) -> DataFrame:
-    """Add ``held``: the name is not available to the parent's overflow when that comes by.
+def _steps(kids: DataFrame) -> DataFrame:
+    """One row per block of a parent's numbers: its kids in order, and two arrays of bars.
 
-    A kid depends on its parent and on smaller siblings only, so the rounds end, and
-    a round that changes nothing has found the one solution.
+    A kid keeps its name if fewer siblings below the block keep theirs than its bar says. The bars of a
+    block are found one kid after the other from the step rule: with ``h`` siblings kept so far, kid ``k``
+    keeps its name if it is taken already or ``h < k - 1 - overflow``, where the overflow of the parent
+    before the kid's first request is one less if the parent keeps its own name (``bars1``) than if it
+    does not (``bars0``). Seen from the start of the block, the kid's condition is a bar on ``h`` there:
+    the number that is as many places up among the numbers no earlier kid has a bar at.
     """
-    state = stage(kids.withColumn("held", F.lit(True)))
-    while True:
-        own = state.select(
-            F.col("stem").alias("parent"), "ext", F.when(F.col("held") & ~F.col("cat"), 1).otherwise(0).alias("own")
-        )
-        joined = join_by_block(state, own, PARENT, "k_block").withColumn(
-            "parent_own", F.coalesce("own", F.when(F.col("parent_cat"), 0).otherwise(1))
-        )
-        summed = running_total(
-            joined.withColumn("one", F.col("held").cast("bigint")), PARENT, "k_block", ["k"], "one", "upto"
+    kid = F.struct("k", "stem", "cat", "before", "parent_cat")
+    blocks = kids.groupBy(*PARENT, "k_block").agg(F.sort_array(F.collect_list(kid)).alias("kids"))  # at most SIBLINGS
+
+    def bars(own: int) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("sorted"), F.array().cast("array<bigint>").alias("bars"))
+
+        def step(state: Column, kid: Column) -> Column:
+            size = F.size(state["sorted"]).cast("bigint")
+            overflow = F.greatest(kid["before"] - own, F.lit(0))
+            places = kid["k"] - 1 - overflow - size
+            lower = F.size(F.filter(state["sorted"], lambda bar, i: bar - (i + 1) < places))
+            place = F.when(kid["cat"], size.cast("int")).otherwise(lower)
+            bar = F.when(kid["cat"], F.lit(_ALWAYS) + size).otherwise(places + lower)
+            new = F.concat(
+                F.slice(state["sorted"], F.lit(1), place), F.array(bar), F.slice(state["sorted"], place + 1, F.size(state["sorted"]))
+            )
+            never = ~kid["cat"] & (places <= 0)
+            return F.struct(
+                F.when(never, state["sorted"]).otherwise(new).alias("sorted"),
+                F.array_append(state["bars"], F.when(never, F.lit(0).cast("bigint")).otherwise(bar)).alias("bars"),
+            )
+
+        return F.aggregate("kids", start, step)["bars"]
+
+    return blocks.withColumn("bars0", bars(0)).withColumn("bars1", bars(1))
+
+
+def _along_blocks() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walk rows (parent, ext, k_block, bars0, bars1) in order: how many siblings below each block keep their names.
+
+    Only the numbers so far are held. A closure, so that workers need not import this package.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        key, kept = None, [0, 0]
+        for batch in batches:
+            parents, exts = batch.column("parent").to_pylist(), batch.column("ext").to_pylist()
+            out: list[list[int]] = [[], []]
+            bars = [batch.column(name) for name in ("bars0", "bars1")]
+            for row, this in enumerate(zip(parents, exts, strict=True)):
+                if this != key:
+                    key, kept = this, [0, 0]
+                for own in (0, 1):
+                    out[own].append(kept[own])
+                    kept[own] += int((np.asarray(bars[own][row].values) > kept[own]).sum())
+            columns = [batch.column("parent"), batch.column("ext"), batch.column("k_block"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["parent", "ext", "k_block", "kept0", "kept1"])
+
+    return walk
+
+
+def _settle(kids: DataFrame) -> DataFrame:
+    """Add ``held``: the name is not available to the parent's overflow when that comes by."""
+    blocks = stage(_steps(kids))
+    bars = blocks.select(*PARENT, "k_block", "bars0", "bars1").withColumn(
+        "blocks", F.count("*").over(Window.partitionBy(*PARENT))
+    )
+    # a parent's blocks pass one task as a stream, eight bytes for each number its overflow can meet
+    walked = bars.filter(F.col("blocks") > 1).drop("blocks").repartition(*PARENT).sortWithinPartitions(*PARENT, "k_block")
+    kept = walked.mapInArrow(_along_blocks(), "parent string, ext string, k_block bigint, kept0 bigint, kept1 bigint")
+    each = blocks.join(kept, [*PARENT, "k_block"], "left").select(
+        *PARENT, "k_block", "kept0", "kept1", F.explode(F.arrays_zip("kids", "bars0", "bars1")).alias("x")
+    )
+    facts = stage(
+        each.select(
+            F.col("x.kids.stem").alias("stem"),
+            "ext",
+            "parent",
+            F.col("x.kids.k").alias("k"),
+            "k_block",
+            F.col("x.kids.cat").alias("cat"),
+            F.col("x.kids.parent_cat").alias("parent_cat"),
+            (F.coalesce("kept0", F.lit(0)) < F.col("x.bars0")).alias("held0"),
+            (F.coalesce("kept1", F.lit(0)) < F.col("x.bars1")).alias("held1"),
         )
-        overflow = F.greatest(F.col("before") - F.col("parent_own"), F.lit(0))
-        held = F.col("cat") | (overflow + F.col("upto") - F.col("one") < F.col("k") - 1)
-        following = stage(summed.select(*kids.columns, held.alias("held"), (held != F.col("held")).alias("changed")))
-        if following.filter("changed").isEmpty():
-            return following.drop("changed")
-        state = following.drop("changed")
+    )
+    return _down_the_nesting(facts)
+
+
+def _down_the_nesting(facts: DataFrame) -> DataFrame:
+    """Replace ``held0`` and ``held1`` by ``held``, as the parent gets its own name or not.
+
+    A parent that is no sibling of another itself has its name unless it is taken. Others are asked in rounds, as
+    many as ``-k-k`` are nested among the few names for which it matters.
+    """
+
+    def answered(rows: DataFrame, own: Column) -> DataFrame:
+        return rows.select(*NAME, "parent", "k", "k_block", "cat", F.when(own, F.col("held1")).otherwise(F.col("held0")).alias("held"))
+
+    names = facts.select(F.col("stem").alias("parent"), "ext", F.lit(True).alias("nested"))
+    asked = stage(join_by_block(facts, names, PARENT, "k_block"))
+    is_open = F.coalesce("nested", F.lit(False)) & (F.col("held0") != F.col("held1"))
+    settled = stage(answered(asked.filter(~is_open), ~F.col("parent_cat")))
+    waiting = asked.filter(is_open).drop("nested")
+    while not waiting.isEmpty():
+        own = settled.select(F.col("stem").alias("parent"), "ext", (F.col("held") & ~F.col("cat")).alias("own"))
+        met = stage(join_by_block(waiting, own, PARENT, "k_block"))
+        settled = stage(settled.unionByName(answered(met.filter(F.col("own").isNotNull()), F.col("own"))))
+        waiting = met.filter(F.col("own").isNull()).drop("own")
+    return settled
+
+
+def _suffixed_or_failed(requests: DataFrame, taken: DataFrame) -> DataFrame:
+    """``_suffixed`` where some requests are not saved: three ways, by what happens in a family of names."""
+    requests = requests.withColumn("root", root_of(F.col("stem")))
+    failing = stage(requests.filter(~F.col("saved")).select(*FAMILY).distinct().withColumn("fails", F.lit(True)))
+    if failing.isEmpty():
+        return _suffixed(requests.drop("root"), taken)
+    met = _contested(requests, taken).filter(F.col("first_seq").isNotNull()).select(root_of(F.col("stem")).alias("root"), "ext").distinct()
+    families = stage(failing.join(met.withColumn("meets", F.lit(True)), FAMILY, "left"))
+    split = stage(join_by_block(requests, families, FAMILY, "block"))
+    alone = split.filter(F.coalesce("meets", F.lit(False))).drop("fails", "meets")
+    split = split.filter(F.col("meets").isNull())
+    placed = free_places(split.filter("fails").drop("root", "fails", "meets"))
+    safe = split.filter(F.col("fails").isNull()).drop("root", "fails", "meets").withColumn("index", F.lit(None).cast("bigint"))
+    named = _suffixed(stage(safe.unionByName(placed)), taken).drop("index")
+    return named.unionByName(_with_paths(numbered_one_by_one(alone, taken), [c for c in requests.columns if c != "root"]))
+
+
+def _with_paths(numbered: DataFrame, columns: list[str]) -> DataFrame:
+    """Add what ``number`` (null for the plain name) makes of each request."""
+    return numbered.select(
+        *columns,
+        F.when(F.col("number").isNull(), F.concat("stem", "ext"))
+        .otherwise(F.concat("stem", F.lit("-"), F.col("number").cast("string"), "ext"))
+        .alias("assigned"),
+        F.when(F.col("number").isNull(), F.lit("new")).otherwise("suffixed").alias("action"),
+        F.lit(True).alias("final"),
+    )
 
 
 def _suffixed(requests: DataFrame, taken: DataFrame) -> DataFrame:
@@ -220,6 +366,8 @@ def _suffixed(requests: DataFrame, taken: DataFrame) -> DataFrame:
         ranked = _ranked(requests, lost, parents)
     else:
         ranked = _ranked(requests, lost).withColumn("crowded", F.lit(False))
+    if "index" in requests.columns:  # place among the free numbers, where some are given back
+        ranked = ranked.withColumn("rank", F.coalesce("index", "rank"))
     # j-th request that cannot have the plain name; 0 for the one that can
     ranked = ranked.withColumn("j", F.col("rank") - F.when(F.col("lost"), 0).otherwise(1))
     plain = ranked.filter((F.col("j") == 0) | ~F.col("crowded")).withColumn(
@@ -229,14 +377,7 @@ def _suffixed(requests: DataFrame, taken: DataFrame) -> DataFrame:
     if any_contested:
         crowded = ranked.filter((F.col("j") > 0) & F.col("crowded"))
         numbered = plain.unionByName(_around_held(crowded, held))
-    return numbered.select(
-        *requests.columns,
-        F.when(F.col("number").isNull(), F.concat("stem", "ext"))
-        .otherwise(F.concat("stem", F.lit("-"), F.col("number").cast("string"), "ext"))
-        .alias("assigned"),
-        F.when(F.col("number").isNull(), F.lit("new")).otherwise("suffixed").alias("action"),
-        F.lit(True).alias("final"),
-    )
+    return _with_paths(numbered, requests.columns)
 
 
 def _around_held(crowded: DataFrame, held: DataFrame) -> DataFrame:

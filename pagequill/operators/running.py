@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key are ranked in blocks of this many sequence numbers.
+# Numbers that are dense by themselves (ranks, counters) are taken in blocks of this many.
 BLOCK_ROWS = 65_536
+# Any other order is cut at quantiles: into ranges of this many rows, but at most RANGES of them.
+RANGE_ROWS = 16_384
+RANGES = 1_024
+_CHUNK = 32
 
 
 def running_total(
@@ -45,3 +49,34 @@ def join_by_block(rows: DataFrame, facts: DataFrame, keys: list[str], block: str
 
 def block_of(order: Column) -> Column:
     return F.floor(order / BLOCK_ROWS).cast("bigint")
+
+
+def range_of(rows: DataFrame, order: str) -> Column:
+    """The number of the range that ``order`` (a whole number) lies in; ranges hold about equally many of ``rows``.
+
+    The bounds are quantiles of ``rows``, so they follow the values wherever these lie: ids need not be dense, and may
+    come from a hash. Only the bounds, fewer than ``RANGES``, reach the driver. What lies under a bound is not counted
+    from the quantiles: all that is built on ranges counts its rows exactly. Nulls are in the first range.
+    """
+    size = rows.count()
+    wanted = min(RANGES, -(-size // RANGE_ROWS))
+    if wanted < 2:
+        return F.lit(0).cast("bigint")
+    steps = F.array(*[F.lit(k / wanted) for k in range(1, wanted)])
+    found = rows.agg(F.percentile_approx(order, steps, F.lit(10 * RANGES)).alias("at")).first()["at"] or []
+    bounds = sorted(set(found))
+    if not bounds:
+        return F.lit(0).cast("bigint")
+    # two short scans instead of a long one: first the chunk of bounds, then the place in it
+    chunks = [bounds[k : k + _CHUNK] for k in range(0, len(bounds), _CHUNK)]
+    value = F.col(order)
+
+    def passed(bound: Column) -> Column:
+        return bound <= value
+
+    def literal(numbers: list[int]) -> Column:
+        return F.array(*[F.lit(n).cast("bigint") for n in numbers])
+
+    chunk = F.size(F.filter(literal([c[0] for c in chunks]), passed))
+    inside = F.size(F.filter(F.element_at(F.array(*[literal(c) for c in chunks]), chunk), passed))
+    return F.when(value < bounds[0], F.lit(0)).otherwise(F.coalesce((chunk - 1) * _CHUNK + inside, F.lit(0))).cast("bigint")

@@ -102,8 +102,28 @@ CATALOGUE = r"""
 SELECT * FROM (VALUES ('note.md'), ('note-3.md'), ('log-4.md'), ('solo-7x.md'), ('log-2-2.md'), ('other-9.md')) AS t(path)
 """
 
+# Four images a page whose names meet, and how fetching them ended: some of each name fail.
+GALLERY = "\nUNION ALL ".join(
+    rf"""SELECT page_id, url, {n} AS pos, CASE WHEN page_id % 6 = 1 AND {n} = 3 THEN '/g/0.png' ELSE '/g/{n}.png' END AS src,
+  CASE (page_id * 3 + {n * n}) % 11 WHEN 0 THEN 'Pic' WHEN 1 THEN 'Pic' WHEN 2 THEN 'Pic 2' WHEN 3 THEN 'Shot' WHEN 4 THEN 'Shot' WHEN 5 THEN 'Shot'
+    WHEN 6 THEN 'Calm' WHEN 7 THEN 'Calm 2' WHEN 8 THEN 'Pic 3' WHEN 9 THEN 'Calm' ELSE 'Own ' || CAST(page_id AS STRING) || 'x{n}' END AS alt,
+  CAST(100 + {n} AS INT) AS width
+FROM pages"""
+    for n in range(4)
+)
+
+GALLERY_RESPONSES = "\nUNION ALL ".join(
+    rf"""SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/g/{n}.png' AS url,
+  CASE WHEN (page_id * 3 + {n * n}) % 11 IN (6, 7, 9) THEN 200 WHEN (page_id + {n}) % 3 = 0 THEN 404 ELSE 200 END AS status_code,
+  CASE WHEN page_id % 4 = 0 THEN 'text/html' ELSE 'image/png' END AS content_type
+FROM pages"""
+    for n in range(4)
+)
+
 VIEWS["name_requests"] = NAME_REQUESTS
 VIEWS["catalogue"] = CATALOGUE
+VIEWS["gallery"] = GALLERY
+VIEWS["gallery_responses"] = GALLERY_RESPONSES
 
 _SOURCES = {"note_sources": "documents", "fetch_attempts": "events"}
 

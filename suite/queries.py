@@ -218,6 +218,12 @@ def attachment_plan(spark: SparkSession, sf: str) -> DataFrame:
     return media.plan_attachments(media.page_images(_decorated(spark, sf)))
 
 
+def attachment_plan_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of images of which some could not be fetched, and of which some were there before."""
+    existing = spark.createDataFrame([("pic-4.png",), ("shot.png",), ("shot-3.png",), ("calm-3.png",)], "filename string")
+    return media.plan_attachments(view(spark, sf, "gallery"), existing, responses=view(spark, sf, "gallery_responses"))
+
+
 def embed_images(spark: SparkSession, sf: str) -> DataFrame:
     """Notes that show each page's images as an absolute link, a plain link and a tag."""
     pages = _decorated(spark, sf)
@@ -400,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "note_paths_overwrite": note_paths_overwrite,
     "image_names": image_names,
     "attachment_plan": attachment_plan,
+    "attachment_plan_results": attachment_plan_results,
     "frontmatter": frontmatter,
     "frontmatter_yaml": frontmatter_yaml,
     "compose_notes": compose_notes,
