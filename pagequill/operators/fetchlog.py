@@ -48,11 +48,18 @@ def fetch_outcomes(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
             F.lit("").alias("content_type"),
             F.lit(0).cast("bigint").alias("attempts"),
         )
+    return last_attempts(attempts, max_attempts).select("url", "outcome", "status_code", "content_type", "attempts")
+
+
+def last_attempts(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """(url, seq, outcome, status_code, content_type, attempts): the attempt that decides about each URL."""
     outcome = attempt_outcome(F.col("status_code"), F.col("failure"))
-    ranked = attempts.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("seq")))
+    ranked = attempts.select(
+        "url", "seq", "status_code", "failure", "content_type", F.row_number().over(Window.partitionBy("url").orderBy("seq")).alias("n")
+    )
     tried = ranked.filter(F.col("n") <= max_attempts).withColumn("outcome", outcome)
     terminal = F.when(F.col("outcome").isin("success", "not_found"), F.col("n"))
-    shown = F.struct("outcome", "status_code", "content_type", F.col("n").cast("bigint").alias("attempts"))
+    shown = F.struct("seq", "outcome", "status_code", "content_type", F.col("n").cast("bigint").alias("attempts"))
     ended = tried.groupBy("url").agg(
         F.coalesce(F.min_by(shown, terminal), F.max_by(shown, "n")).alias("end")
     )

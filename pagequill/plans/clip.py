@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.core import cached_column, is_blank
 from ..functions.text import note_name
 from ..operators.blocks import render, with_article
+from ..operators.fetchlog import decode_pages, last_attempts, validate_urls
 from ..operators.media import embed_images, image_array, plan_attachments
 from ..operators.metadata import with_metadata
 from ..operators.naming import CONFLICT_MODES, assign_note_paths
 from ..operators.notes import compose_notes, convert, with_frontmatter, with_yaml
 from ..operators.outcomes import classify
+from ..operators.running import join_by_block, range_of
 from ..sources.staging import stage
 from ..sources.tables import read_catalogue, read_images, write_images, write_notes
 
@@ -50,12 +52,14 @@ def articles(pages: DataFrame, options: ClipOptions) -> DataFrame:
     return with_article(described, options.max_host_repeat).select(*columns)
 
 
-def attach(found: DataFrame, options: ClipOptions, existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Embed planned images; returns the notes and the attachment plan."""
+def attach(
+    found: DataFrame, options: ClipOptions, existing: DataFrame | None, responses: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Embed planned images, or those of them that ``responses`` say were saved; returns the notes and the attachment plan."""
     found = stage(found)
     shown = found.filter(~is_blank(F.col("markdown")))
     images = shown.select("page_id", "url", F.explode("images").alias("i")).select("page_id", "url", "i.*")
-    plan = stage(plan_attachments(images, existing, options.conflict))
+    plan = stage(plan_attachments(images, existing, options.conflict, responses))
     notes = embed_images(found.withColumn("has_images", F.size("images") > 0), plan)
     return notes.drop("images", "has_images"), plan
 
@@ -78,9 +82,69 @@ def clip_pages(
     options: ClipOptions,
     catalogue: DataFrame | None = None,
     existing_images: DataFrame | None = None,
+    image_responses: DataFrame | None = None,
 ) -> DataFrame:
-    """Pages (page_id, url, html) -> one note row per page; ``page_id`` is the input order."""
-    return clip_with_images(pages, options, catalogue, existing_images)[0]
+    """Pages (page_id, url, html) -> one note row per page; ``page_id`` is the input order.
+
+    ``existing_images`` (filename) are the files in the attachments folder, and ``image_responses`` says how fetching
+    the images ended (see ``plan_attachments``); both count with ``images="download"`` alone.
+    """
+    return clip_with_images(pages, options, catalogue, existing_images, image_responses)[0]
+
+
+# Where a request ends: by the operator that decides about it.
+_STAGES = {
+    "invalid_url": "url", "not_found": "fetch", "server_error": "fetch", "timeout": "fetch", "network_error": "fetch",
+    "blank": "article", "exists": "path", "saved": "note",
+}
+
+
+def clip_responses(
+    urls: DataFrame,
+    attempts: DataFrame,
+    options: ClipOptions,
+    catalogue: DataFrame | None = None,
+    existing_images: DataFrame | None = None,
+    image_responses: DataFrame | None = None,
+    max_attempts: int = 3,
+) -> DataFrame:
+    """Requested URLs (seq, url) and what fetching them gave -> one row per request, however it ended.
+
+    ``attempts`` (url, seq, status_code, failure, content_type, body) logs every try; url and seq name one. A URL that
+    is not valid, was never tried, or whose deciding attempt failed has no note; all others are decoded and clipped in
+    the order of ``seq``, which is unique. A URL asked for more than once gives a note for each request. A request without a path has no content. ``ending`` says
+    how far a request came (``saved`` or one of the exit codes' names), ``stage`` which step decided, and ``attempts``
+    how many tries were made; ``status`` and ``exit_code`` follow, as ``batch_summary`` reads them.
+
+    Small columns decide first. A body then crosses one exchange, by URL and attempt; requests for a URL arrive there as
+    lists, one for each range of ``seq``, so one asked for by a third of all rows is spread over the ranges.
+    """
+    asked = validate_urls(urls.select(F.col("seq").cast("bigint").alias("seq"), "url"))
+    asked = stage(asked)
+    asked = asked.withColumn("range", range_of(asked, "seq"))
+    ends = last_attempts(attempts, max_attempts).select("url", F.col("seq").alias("try"), "outcome", "attempts")
+    met = join_by_block(asked, ends, ["url"], "range")
+    fetched = F.coalesce("outcome", F.lit("network_error"))
+    ending = F.when(~F.col("valid"), F.lit("invalid_url")).when(fetched != "success", fetched)
+    tries = F.when(F.col("valid"), F.coalesce("attempts", F.lit(0))).otherwise(0).cast("bigint")
+    routed = stage(met.select("seq", "url", "range", "try", ending.alias("ending"), tries.alias("attempts")))
+
+    good = routed.filter(F.col("ending").isNull())
+    lists = good.groupBy("url", "try", "range").agg(F.collect_list(F.struct("seq", "attempts")).alias("requests"))
+    bodies = attempts.select("url", F.col("seq").alias("try"), "content_type", F.coalesce("body", F.lit(b"")).alias("body"))
+    pages = decode_pages(lists.join(bodies, ["url", "try"])).select(F.explode("requests").alias("request"), "url", "html")
+    pages = pages.select(F.col("request.seq").alias("page_id"), "url", "html")
+    notes = clip_pages(pages, options, catalogue, existing_images, image_responses)
+
+    path = F.when(F.col("status") == "success", F.lit("saved")).when(F.col("action") == "skip", F.lit("exists")).otherwise(F.lit("blank"))
+    kept = notes.withColumnRenamed("page_id", "seq").withColumn("ending", path)
+    kept = kept.withColumn("content", F.when(F.col("path").isNotNull(), F.col("content")))
+    kept = kept.join(good.select("seq", "attempts"), "seq")
+    lost = routed.filter(F.col("ending").isNotNull()).drop("range", "try")
+    lost = lost.withColumn("final", F.lit(False)).select("*", *classify(F.col("ending")))
+    both = kept.unionByName(lost, allowMissingColumns=True)
+    steps = F.create_map(*[F.lit(x) for pair in _STAGES.items() for x in pair])
+    return both.withColumn("stage", steps[F.col("ending")])
 
 
 def clip_run(pages: DataFrame, options: ClipOptions, out: str, run: int) -> None:
@@ -98,7 +162,11 @@ def clip_run(pages: DataFrame, options: ClipOptions, out: str, run: int) -> None
 
 
 def clip_with_images(
-    pages: DataFrame, options: ClipOptions, catalogue: DataFrame | None, existing_images: DataFrame | None
+    pages: DataFrame,
+    options: ClipOptions,
+    catalogue: DataFrame | None,
+    existing_images: DataFrame | None,
+    image_responses: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The notes, and with ``images="download"`` the plan (page_id, src_abs, filename, width, path) of what to fetch.
 
@@ -107,7 +175,7 @@ def clip_with_images(
     """
     found, plan = articles(pages, options), None
     if options.images == "download":
-        found, plan = attach(found, options, existing_images)
+        found, plan = attach(found, options, existing_images, image_responses)
         plan = plan.withColumn("path", F.concat(F.lit(options.images_dir.rstrip("/") + "/"), "filename"))
     notes = stage(finish(found, options))
     wanted = notes.filter(~F.col("blank")).select(F.col("page_id").alias("seq"), "name")

@@ -120,6 +120,26 @@ FROM pages"""
     for n in range(4)
 )
 
+# URLs asked for, some twice, some never fetched or not valid, and the log of fetching them.
+_PAGE_URL = "'https://r.example/' || CAST(page_id AS STRING)"
+REQUESTED_URLS = rf"""
+SELECT page_id * 3 AS seq, CASE WHEN page_id % 13 = 12 THEN 'ftp://r.example/' || CAST(page_id AS STRING) ELSE {_PAGE_URL} END AS url FROM pages
+UNION ALL SELECT page_id * 3 + 1, {_PAGE_URL} FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT page_id * 3 + 2, {_PAGE_URL} || '/never' FROM pages WHERE page_id % 9 = 0
+"""
+
+FETCH_LOG = "\nUNION ALL ".join(
+    rf"""SELECT {_PAGE_URL} AS url, page_id + {n} AS seq,
+  CASE WHEN page_id % 11 = 0 THEN 404 WHEN page_id % 11 = 1 THEN 503 WHEN page_id % 11 = 2 AND {n} < 2 THEN 500 WHEN page_id % 11 = 3 THEN CAST(NULL AS INT) ELSE 200 END AS status_code,
+  CASE WHEN page_id % 11 = 3 THEN CASE WHEN {n} = 2 THEN 'timeout' ELSE 'reset' END ELSE CAST(NULL AS STRING) END AS failure,
+  CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/html' ELSE '' END AS content_type,
+  CASE WHEN page_id % 11 = 4 THEN '' WHEN page_id % 11 = 2 AND {n} < 2 THEN 'not this one' ELSE html END AS text
+FROM pages"""
+    for n in range(4)
+)
+
+VIEWS["requested_urls"] = REQUESTED_URLS
+VIEWS["fetch_log"] = FETCH_LOG
 VIEWS["name_requests"] = NAME_REQUESTS
 VIEWS["catalogue"] = CATALOGUE
 VIEWS["gallery"] = GALLERY

@@ -16,6 +16,7 @@ from pagequill.functions.text import slugify as slugify_col
 from pagequill.functions.urls import resolve_url, url_extension
 from pagequill.operators import blocks, fetchlog, media, metadata, naming, notes, outcomes, tokens
 from pagequill.plans.clip import ClipOptions, clip_pages
+from pagequill.plans.clip import clip_responses as clip_from_responses
 from pagequill.sources.staging import staging_root
 from pagequill.sources.tables import read_notes, read_pages, read_url_list
 from pagequill.streaming.notes import stream_notes as run_stream
@@ -332,6 +333,17 @@ def clip_plain(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(clip_pages(_pages(spark, sf), ClipOptions(as_of=AS_OF)))
 
 
+def clip_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """From a list of URLs and a fetch log to one row per request."""
+    log = view(spark, sf, "fetch_log").withColumn("body", F.encode("text", "UTF-8")).drop("text")
+    found = clip_from_responses(view(spark, sf, "requested_urls"), log, ClipOptions(as_of=AS_OF))
+    return found.select("seq", "url", "attempts", "ending", "stage", "status", "exit_code", "title", "path", "action", "content")
+
+
+def clip_responses_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return outcomes.batch_summary(clip_responses(spark, sf))
+
+
 STREAM_PARTS = 3
 
 
@@ -414,5 +426,7 @@ QUERIES: dict[str, Query] = {
     "batch_summary": batch_summary,
     "clip_pages": clip,
     "clip_pages_plain": clip_plain,
+    "clip_responses": clip_responses,
+    "clip_responses_summary": clip_responses_summary,
     "stream_notes": stream_notes,
 }
