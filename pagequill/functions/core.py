@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Unicode word and white-space classes: Java's own \w and \s are ASCII only.
@@ -44,6 +44,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each(rows: DataFrame, array: Column, name: str, *columns: Column | str) -> DataFrame:
+    """``columns`` and, as ``name``, one row per element of ``array``, which has no null elements.
+
+    An outer explode: beneath a plain one the optimizer puts a filter on the size of the array, and with it
+    computes the whole array a second and third time.
+    """
+    return rows.select(*columns, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def each_numbered(rows: DataFrame, array: Column, place: str, name: str, *columns: Column | str) -> DataFrame:
+    """``each`` with the position of the element, from 0, as ``place``."""
+    return rows.select(*columns, F.posexplode_outer(array).alias(place, name)).filter(F.col(place).isNotNull())
+
+
 # The characters of SPACE, for the trim functions.
 _SPACE_CHARS = (
     "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import SPACE, cached_column, is_blank, let, rewrite_matches, scan, strip, tidy
+from ..functions.core import SPACE, cached_column, each, is_blank, let, rewrite_matches, scan, strip, tidy
 from ..functions.entities import decode_entities
 from ..functions.html import BLOCK_TAGS, TAG, attr_first, attr_last, attributes
 from ..functions.urls import url_host
@@ -356,7 +356,7 @@ def with_blocks(pages: DataFrame) -> DataFrame:
 
 def _block_rows(blocks: DataFrame) -> DataFrame:
     b = F.col("b")
-    return blocks.select("page_id", F.explode("blocks").alias("b")).select(
+    return each(blocks, F.col("blocks"), "b", "page_id").select(
         "page_id",
         b["block_id"].alias("block_id"),
         b["tag"].alias("tag"),
@@ -394,7 +394,7 @@ def with_article(pages: DataFrame, max_host_repeat: int | None = None) -> DataFr
 def _block_keys(host_pages: DataFrame) -> DataFrame:
     """(page_id, host, key): the distinct block texts of each page, as hashes."""
     keys = F.array_distinct(F.transform("blocks", _text_key))
-    return host_pages.select("page_id", url_host(F.col("url")).alias("host"), F.explode(keys).alias("key"))
+    return each(host_pages, keys, "key", "page_id", url_host(F.col("url")).alias("host"))
 
 
 def _text_key(block: Column) -> Column:

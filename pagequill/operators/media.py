@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import cached_column, let, rewrite_matches, starts_with_any, strip, tidy
+from ..functions.core import cached_column, each, let, rewrite_matches, starts_with_any, strip, tidy
 from ..functions.entities import decode_entities
 from ..functions.html import attr_first, attr_last, attributes, is_open
 from ..functions.markdown import ABSOLUTE_PREFIXES, IMG_TAG, LINK, link_parts
@@ -49,8 +49,7 @@ def image_array(column: str = "tokens") -> Column:
 def page_images(pages: DataFrame) -> DataFrame:
     """One row per image of a page."""
     return (
-        with_tokens(pages)
-        .select("page_id", "url", F.explode(image_array()).alias("image"))
+        each(with_tokens(pages), image_array(), "image", "page_id", "url")
         .select("page_id", "url", "image.*")
     )
 
@@ -106,8 +105,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """Edge table of a page's links: text, raw and absolute target, class."""
     href = F.col("link")["href"]
     return (
-        with_tokens(pages)
-        .select("page_id", "url", F.explode(link_array()).alias("link"))
+        each(with_tokens(pages), link_array(), "link", "page_id", "url")
         .select(
             "page_id",
             F.col("link")["pos"].alias("pos"),

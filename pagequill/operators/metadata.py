@@ -15,7 +15,12 @@ FIELDS = ("title", "author", "date", "description", "tags", "og_title", "og_desc
 
 
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# Elements a heading lies in: the end of one ends a heading left open.
 HEADING_PARENTS = ("header", "section", "article", "main", "body", "html")
+# Elements that cannot stand in a heading: the start of one ends a heading that has no end tag.
+HEADING_ENDERS = (
+    "p", "ul", "ol", "dl", "li", "dt", "dd", "table", "form", "fieldset", "header", "section", "article", "main", "nav", "footer", "aside",
+)
 
 
 def _content(metas: Column, *sources: tuple[str, str]) -> Column:
@@ -31,19 +36,27 @@ def _having(metas: Column, kind: str, key: str) -> Column:
 def heading_text(tokens: Column) -> Column:
     """Text of the first h1: its text nodes trimmed one by one and joined.
 
-    Blocks inside belong to it. One left open ends at another heading or with the part of the page it is in.
+    It reads to the end tag, blocks inside included. A heading without one (another heading starts first, its parent
+    ends, or the page does) is left open, and ends where something starts that no heading holds.
     """
     start = first_index(tokens, lambda t: is_open(t, "h1"))
 
     def ends(t: Column) -> Column:
         return t["tag"].isin(*HEADING_TAGS) | ((t["kind"] == "close") & t["tag"].isin(*HEADING_PARENTS))
 
-    inside = let(
-        start,
-        lambda s: F.when(s > 0, text_until(tokens, s, ends)),
-    )
+    def inside(rest: Column) -> Column:
+        def to_end(end: Column) -> Column:
+            closed = F.get(rest, end - 1)
+            whole = F.slice(rest, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(rest)))
+            return F.when((closed["kind"] == "close") & closed["tag"].isin(*HEADING_TAGS), whole).otherwise(
+                text_until(whole, F.lit(0), lambda t: is_open(t, *HEADING_ENDERS))
+            )
+
+        return let(first_index(rest, ends), to_end)
+
+    found = let(start, lambda s: F.when(s > 0, let(F.slice(tokens, s + 1, F.size(tokens)), inside)))
     texts = F.transform(
-        F.filter(inside, lambda t: t["kind"] == "text"), lambda t: strip(decode_entities(t["raw"]))
+        F.filter(found, lambda t: t["kind"] == "text"), lambda t: strip(decode_entities(t["raw"]))
     )
     return F.coalesce(F.array_join(texts, ""), F.lit(""))
 

@@ -157,7 +157,6 @@ def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
         "first_seq",
         "first_block",
     )
-    kids = stage(kids)
     parents = (
         requests.groupBy(*NAME)
         .agg(F.count("*").alias("n"))
@@ -312,15 +311,16 @@ def _down_the_nesting(facts: DataFrame) -> DataFrame:
     def answered(rows: DataFrame, own: Column) -> DataFrame:
         return rows.select(*NAME, "parent", "k", "k_block", "cat", F.when(own, F.col("held1")).otherwise(F.col("held0")).alias("held"))
 
+    differs = F.col("held0") != F.col("held1")
+    settled = answered(facts.filter(~differs), F.lit(True))
     names = facts.select(F.col("stem").alias("parent"), "ext", F.lit(True).alias("nested"))
-    asked = stage(join_by_block(facts, names, PARENT, "k_block"))
-    is_open = F.coalesce("nested", F.lit(False)) & (F.col("held0") != F.col("held1"))
-    settled = stage(answered(asked.filter(~is_open), ~F.col("parent_cat")))
-    waiting = asked.filter(is_open).drop("nested")
+    waiting = stage(join_by_block(facts.filter(differs), names, PARENT, "k_block"))
+    settled = settled.unionByName(answered(waiting.filter(F.col("nested").isNull()), ~F.col("parent_cat")))
+    waiting = waiting.filter("nested").drop("nested")
     while not waiting.isEmpty():
         own = settled.select(F.col("stem").alias("parent"), "ext", (F.col("held") & ~F.col("cat")).alias("own"))
         met = stage(join_by_block(waiting, own, PARENT, "k_block"))
-        settled = stage(settled.unionByName(answered(met.filter(F.col("own").isNotNull()), F.col("own"))))
+        settled = settled.unionByName(answered(met.filter(F.col("own").isNotNull()), F.col("own")))
         waiting = met.filter(F.col("own").isNull()).drop("own")
     return settled
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.core import cached_column, lines_of
+from ..functions.core import cached_column, each_numbered, lines_of
 from ..functions.frontmatter import frontmatter as frontmatter_struct
 from ..functions.frontmatter import frontmatter_yaml
 
 
 def note_lines(notes: DataFrame) -> DataFrame:
     """(doc_id, markdown) -> (doc_id, line_no, line), line numbers from 0."""
-    return notes.select("doc_id", F.posexplode(lines_of(F.col("markdown"))).alias("line_no", "line"))
+    return each_numbered(notes, lines_of(F.col("markdown")), "line_no", "line", "doc_id")
 
 
 def join_lines(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import cached_column
+from ..functions.core import cached_column, each, each_numbered
 from ..functions.html import attr_first, attributes, inner_text, is_open, token_array
 
 
@@ -25,8 +25,7 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     """One row per token: position, kind, tag, attributes, decoded text, raw source."""
     token = F.col("token")
     return (
-        with_tokens(pages)
-        .select("page_id", F.posexplode("tokens").alias("pos", "token"))
+        each_numbered(with_tokens(pages), F.col("tokens"), "pos", "token", "page_id")
         .select(
             "page_id",
             "pos",
@@ -69,9 +68,7 @@ def meta_tags(pages: DataFrame) -> DataFrame:
         lambda k: k["key"].isNotNull(),
     )
     return (
-        with_tokens(pages)
-        .select("page_id", F.explode(meta_array()).alias("meta"))
-        .select("page_id", "meta", F.explode(keyed).alias("keyed"))
+        each(each(with_tokens(pages), meta_array(), "meta", "page_id"), keyed, "keyed", "page_id", "meta")
         .select(
             "page_id",
             meta["pos"].alias("pos"),

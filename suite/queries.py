@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequill.functions import markdown as md
+from pagequill.functions.core import each
 from pagequill.functions.entities import decode_entities as decode_entities_col
 from pagequill.functions.frontmatter import frontmatter_yaml as yaml_col
 from pagequill.functions.text import clean_text, image_name, keyword_tags, note_name, parse_date
@@ -80,6 +81,14 @@ def meta_tags(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.meta_tags(_decorated(spark, sf))
 
 
+def article_titles_open(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.article_titles(view(spark, sf, "open_pages"))
+
+
+def text_blocks_open(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.text_blocks(view(spark, sf, "open_pages"))
+
+
 def article_titles(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.article_titles(_pages(spark, sf))
 
@@ -202,7 +211,7 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolve_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages = tokens.with_tokens(_decorated(spark, sf))
-    rows = pages.select("page_id", "url", F.explode(media.link_array()).alias("link")).select("page_id", "url", "link.pos", "link.href")
+    rows = each(pages, media.link_array(), "link", "page_id", "url").select("page_id", "url", "link.pos", "link.href")
     return rows.select("page_id", "pos", "href", resolve_url(F.col("url"), F.col("href")).alias("target"))
 
 
@@ -379,6 +388,7 @@ QUERIES: dict[str, Query] = {
     "decode_entities": decode_entities,
     "meta_tags": meta_tags,
     "article_titles": article_titles,
+    "article_titles_open": article_titles_open,
     "article_metadata": article_metadata,
     "clean_text": clean_texts,
     "parse_dates": parse_dates,
@@ -386,6 +396,7 @@ QUERIES: dict[str, Query] = {
     "page_images": page_images,
     "page_links": page_links,
     "text_blocks": text_blocks,
+    "text_blocks_open": text_blocks_open,
     "main_blocks": main_blocks,
     "main_blocks_density": main_blocks_density,
     "main_blocks_unrepeated": main_blocks_unrepeated,

@@ -96,6 +96,31 @@ def test_metadata_priority(spark):
     assert rows[2].og_title == "Social co" and rows[2].og_description == ""
 
 
+def test_headings_left_open(spark):
+    cases = {
+        "<h1>one<p>body text<div>more body</div><p>end": "one",
+        "<h1>one<p>two</p></h1><p>body": "onetwo",
+        "<h1>one <i>and</i> more<ul><li>x</ul><h2>two</h2>": "oneandmore",
+        "<h1>one<h2>two</h2>": "one",
+        "<div><h1>one<div>two</div><table><tr><td>x</table></div>": "onetwo",
+        "<article><h1>one</article>tail</h1>": "one",
+        "<h1>one": "one",
+        "<h1><p>one</h2>two": "one",
+        "<ul><li>a<li>b</ul><h1>one<li>two<li>three": "one",
+        "<table><tr><td><h1>one<td>two</table>": "onetwo",
+    }
+    rows = metadata.article_titles(pages(spark, *cases)).orderBy("page_id").collect()
+    assert [r.title for r in rows] == list(cases.values())
+
+
+def test_arrays_are_computed_once(spark):
+    """No filter on the size of an exploded array: it would compute the array once more."""
+    raw = pages(spark, "<p>a</p>")
+    for df in (tokens.html_tokens(raw), blocks.text_blocks(raw), media.page_links(raw), media.page_images(raw), tokens.meta_tags(raw)):
+        nodes = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert not [n for n in nodes if n.lstrip(" :+-").startswith("Filter") and "size(" in n]
+
+
 def test_meta_rows_and_images(spark):
     body = (
         '<meta name="k" property="p" content="c &amp; d"><meta charset=x><script>"<img src=no>"</script><!-- <img src=no> -->'
