@@ -407,12 +407,12 @@ def repeated_blocks(pages: DataFrame, max_host_repeat: int) -> DataFrame:
     A text counts once per page; the page removes its own doubles first, so the
     count is a plain sum with map-side combining and no distinct shuffle.
     """
-    return (
-        _block_keys(with_blocks(pages))
-        .groupBy("host", "key")
-        .agg(F.count("*").alias("n_pages"))
-        .filter(F.col("n_pages") > max_host_repeat)
-    )
+    return _repeated(_block_keys(with_blocks(pages)), max_host_repeat)
+
+
+def _repeated(keys: DataFrame, max_host_repeat: int) -> DataFrame:
+    counted = keys.groupBy("host", "key").agg(F.count("*").alias("n_pages"))
+    return counted.filter(F.col("n_pages") > max_host_repeat)
 
 
 # At most this many keys can each hold more than 1/HEAVY_KEYS of all rows.
@@ -422,13 +422,13 @@ HEAVY_KEYS = 10_000
 def drop_repeated(pages: DataFrame, max_host_repeat: int) -> DataFrame:
     """Remove repeated blocks from each page's array; pages keep their row even when nothing is left.
 
-    Only hashes travel: the texts move once, when the pages meet their own dropped keys.
+    Keys are hashed once and staged. Only hashes travel: the texts move once, when the pages meet their own dropped keys.
     A key that holds over 1/10,000 of all key rows is broadcast: there can be no more
     than 10,000 of those. All others are joined by shuffle, where no key is hot.
     """
-    repeated = repeated_blocks(pages, max_host_repeat)
-    keys = _block_keys(pages)
-    heavy_from = keys.agg((F.count("*") / HEAVY_KEYS).alias("n")).scalar()
+    keys = stage(_block_keys(pages))
+    repeated = stage(_repeated(keys, max_host_repeat))
+    heavy_from = keys.count() / HEAVY_KEYS
     heavy = repeated.filter(F.col("n_pages") > heavy_from).select("host", "key")
     light = repeated.filter(F.col("n_pages") <= heavy_from).select("host", "key")
     dropped = (

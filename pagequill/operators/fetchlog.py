@@ -13,10 +13,9 @@ from ..functions.urls import IMAGE_EXTENSIONS, is_blocked_host, url_host, url_sc
 
 
 def validate_urls(urls: DataFrame) -> DataFrame:
-    """Add ``valid`` and ``reason`` (bad_scheme, no_host); only http and https with a host pass."""
-    reason = F.when(~url_scheme(F.col("url")).isin("http", "https"), F.lit("bad_scheme")).when(
-        url_host(F.col("url")) == "", F.lit("no_host")
-    )
+    """Add ``valid`` and ``reason`` (bad_scheme, no_host); only http and https with a host pass. A null URL has no scheme."""
+    url = F.coalesce("url", F.lit(""))
+    reason = F.when(~url_scheme(url).isin("http", "https"), F.lit("bad_scheme")).when(url_host(url) == "", F.lit("no_host"))
     return urls.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 

@@ -17,8 +17,8 @@ from ..operators.naming import CONFLICT_MODES, assign_note_paths
 from ..operators.notes import compose_notes, convert, with_frontmatter, with_yaml
 from ..operators.outcomes import classify
 from ..operators.running import join_by_block, range_of
-from ..sources.staging import stage
-from ..sources.tables import read_catalogue, read_images, write_images, write_notes
+from ..sources.staging import stage, staged_until_end
+from ..sources.tables import read_catalogue, read_images, write_notes
 
 IMAGE_MODES = ("link", "download", "skip")
 
@@ -147,18 +147,30 @@ def clip_responses(
     return both.withColumn("stage", steps[F.col("ending")])
 
 
-def clip_run(pages: DataFrame, options: ClipOptions, out: str, run: int) -> None:
+def clip_run(
+    pages: DataFrame,
+    options: ClipOptions,
+    out: str,
+    run: int,
+    existing_images: DataFrame | None = None,
+    image_responses: DataFrame | None = None,
+) -> None:
     """Clip a batch and write it as run ``run`` of the notes under ``out``, named against the runs before it.
 
-    The attachment plan of the run goes to ``out/images``, so that later runs give out other file names.
+    The attachment plan of the run goes to ``out/images``, so that later runs give out other file names; files that lie
+    in the attachments folder without a run are given as ``existing_images`` (filename). Notes and plan become visible
+    together, and what was staged on the way is removed.
     """
     spark = pages.sparkSession
-    download = options.images == "download"
-    images = read_images(spark, out, before_run=run) if download else None
-    notes, plan = clip_with_images(pages, options, read_catalogue(spark, out, before_run=run), images)
-    if plan is not None:
-        write_images(plan, out, run)
-    write_notes(notes, out, run)
+    with staged_until_end(spark):
+        images = None
+        if options.images == "download":
+            images = read_images(spark, out, before_run=run)
+            if existing_images is not None:
+                images = images.unionByName(existing_images.select("filename")).distinct()
+        catalogue = read_catalogue(spark, out, before_run=run)
+        notes, plan = clip_with_images(pages, options, catalogue, images, image_responses)
+        write_notes(notes, out, run, plan)
 
 
 def clip_with_images(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.core import strip
 from ..operators.running import carry
+from .staging import remove
 
 PAGES = T.StructType(
     [
@@ -20,6 +21,8 @@ PAGES = T.StructType(
     ]
 )
 NOTE_ROW = "page_id bigint, path string, action string, content string, run bigint"
+# Folder of the rows that say which runs are complete.
+MANIFEST = "manifest"
 IMAGE_ROW = "page_id bigint, src_abs string, filename string, width int, path string, run bigint"
 
 # Line ends beside the line feed and carriage return that the text reader knows.
@@ -62,22 +65,39 @@ def read_url_list(spark: SparkSession, path: str, extra_urls: Iterable[str] = ()
     return first.unionByName(numbered)
 
 
-def write_notes(notes: DataFrame, out: str, run: int) -> None:
-    """Write the notes that have a path as run ``run``; writing a run again replaces it.
+def write_notes(notes: DataFrame, out: str, run: int, images: DataFrame | None = None) -> None:
+    """Write the notes that have a path, and the attachment plan, as run ``run``; writing a run again replaces it.
 
     Every batch needs a number of its own, and its names a catalogue of the runs before it: ``clip_run`` does both.
 
+    Notes, catalogue and plan become visible together: a run counts from the moment its row in the manifest is there,
+    which is written last and taken back first. A run that was cut off in between leaves readers at the runs before.
     Runs are never changed by later ones: for a path written more than once
     ``read_notes`` takes the last run, and inside a run the final request.
     """
+    spark = notes.sparkSession
+    remove(spark, f"{out}/{MANIFEST}/run={run}")
+    if images is not None:
+        images.select("page_id", "src_abs", "filename", "width", "path").write.mode("overwrite").parquet(f"{out}/images/run={run}")
+    else:
+        remove(spark, f"{out}/images/run={run}")
     kept = notes.filter(F.col("path").isNotNull() & F.col("final"))
     kept.select("page_id", "path", "action", "content").write.mode("overwrite").parquet(f"{out}/run={run}")
+    spark.range(run, run + 1, 1, 1).toDF("number").write.mode("overwrite").parquet(f"{out}/{MANIFEST}/run={run}")
 
 
-def _runs(spark: SparkSession, out: str, row: str = NOTE_ROW) -> DataFrame:
-    """The runs written so far. Only a table that is not there yet is empty; any other fault is an error."""
+def _runs(spark: SparkSession, out: str, row: str = NOTE_ROW, folder: str = "", before_run: int | None = None) -> DataFrame:
+    """Rows of the committed runs. Only a table that is not there yet is empty; any other fault is an error."""
+    rows = _read(spark, f"{out}{folder}", row)
+    done = _read(spark, f"{out}/{MANIFEST}", "number bigint, run bigint").select(F.col("number").alias("run"))
+    if before_run is not None:
+        rows, done = rows.filter(F.col("run") < before_run), done.filter(F.col("run") < before_run)
+    return rows.join(done, "run", "left_semi").select(*rows.columns)
+
+
+def _read(spark: SparkSession, base: str, row: str) -> DataFrame:
     try:
-        return spark.read.schema(row).option("basePath", out).parquet(f"{out}/run=*")
+        return spark.read.schema(row).option("basePath", base).parquet(f"{base}/run=*")
     except AnalysisException as fault:
         if fault.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -86,10 +106,7 @@ def _runs(spark: SparkSession, out: str, row: str = NOTE_ROW) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, out: str, before_run: int | None = None) -> DataFrame:
     """Paths written so far; with ``before_run`` only those of earlier runs."""
-    runs = _runs(spark, out)
-    if before_run is not None:
-        runs = runs.filter(F.col("run") < before_run)
-    return runs.select("path").distinct()
+    return _runs(spark, out, before_run=before_run).select("path").distinct()
 
 
 def read_notes(spark: SparkSession, out: str) -> DataFrame:
@@ -99,14 +116,6 @@ def read_notes(spark: SparkSession, out: str) -> DataFrame:
     return runs.join(last, ["path", "run"], "left_semi").select("path", "page_id", "action", "content")
 
 
-def write_images(plan: DataFrame, out: str, run: int) -> None:
-    """Write a run's attachment plan, what to fetch and where to put it; writing a run again replaces it."""
-    plan.select("page_id", "src_abs", "filename", "width", "path").write.mode("overwrite").parquet(f"{out}/images/run={run}")
-
-
 def read_images(spark: SparkSession, out: str, before_run: int | None = None) -> DataFrame:
     """File names of images planned so far; with ``before_run`` only those of earlier runs."""
-    runs = _runs(spark, f"{out}/images", IMAGE_ROW)
-    if before_run is not None:
-        runs = runs.filter(F.col("run") < before_run)
-    return runs.select("filename").distinct()
+    return _runs(spark, out, IMAGE_ROW, "/images", before_run).select("filename").distinct()

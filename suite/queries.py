@@ -235,16 +235,17 @@ def attachment_plan_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes that show each page's images as an absolute link, a plain link and a tag."""
-    pages = _decorated(spark, sf)
-    plan = media.plan_attachments(media.page_images(pages))
+    """Rendered pages, which show their images, and after each the same images as an absolute link, a plain link and a tag."""
+    pages = blocks.render_markdown(_decorated(spark, sf))
+    plan = media.plan_attachments(media.page_images(_decorated(spark, sf)))
     host = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
     name = F.concat(F.lit("/img/p"), (F.col("page_id") % 4).cast("string"), F.lit(".PNG?w=1"))
     text = F.concat(
         F.lit("![My Photo]("), host, name, F.lit(")\n[plain](https://cdn.example.com/a.webp) ![rel](/img/x.png)\n"),
         F.lit('<img alt="x" src="https://cdn.example.com/a.webp" width="9"> <IMG src=\'/lost.png\'>\n[z](u)'),
     )
-    return media.embed_images(pages.select("page_id", text.alias("markdown")), plan)
+    shown = F.concat("markdown", F.lit("\n"), text)
+    return media.embed_images(pages.select("page_id", shown.alias("markdown")), plan)
 
 
 def slugify(spark: SparkSession, sf: str) -> DataFrame:

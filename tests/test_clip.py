@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequill.functions.frontmatter import frontmatter, frontmatter_yaml
-from pagequill.plans.clip import ClipOptions, clip_pages
+from pagequill.plans.clip import ClipOptions, clip_pages, clip_responses
 from pagequill.plans.clip import clip_run
 from pagequill.sources.staging import staging_root
 from pagequill.sources.tables import read_catalogue, read_images, read_notes, read_url_list, write_notes
@@ -136,9 +136,9 @@ def test_runs_are_named_against_the_runs_before(spark, tmp_path):
 
 
 def test_a_broken_catalogue_is_an_error(spark, tmp_path):
-    (tmp_path / "run=0").mkdir()
-    (tmp_path / "run=0" / "part-0.parquet").write_text("no parquet")
-    with pytest.raises(Exception):  # noqa: B017
+    write_notes(clip_pages(pages(spark, "One"), ClipOptions(as_of=DAY)), str(tmp_path), run=0)
+    (tmp_path / "run=0" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="parquet"):
         read_catalogue(spark, str(tmp_path)).collect()
 
 
@@ -183,3 +183,89 @@ def test_regions_are_the_innermost_open_landmark(spark, body):
 def test_title_of_a_heading_with_blocks(spark):
     html = "<html><head><title>Site</title></head><body><article><h1><div>Real</div> <p>name</p></h1><p>x</article></body></html>"
     assert clip_pages(spark.createDataFrame([(1, "https://e/", html)], "page_id long, url string, html string"), ClipOptions(as_of=DAY)).first().title == "Realname"
+
+
+def staged(spark):
+    from pathlib import Path
+
+    return {p.name for p in Path(staging_root(spark)).glob("stage-*")}
+
+
+def test_nothing_staged_is_left(spark, tmp_path):
+    before = staged(spark)
+    options = ClipOptions(as_of=DAY, images="download", max_host_repeat=1)
+    clip_run(pages(spark, "One", "Two", "One"), options, str(tmp_path / "out"), run=0)
+    assert staged(spark) == before
+    with pytest.raises(Exception, match="broken"):
+        broken = pages(spark, "One").withColumn("html", F.raise_error(F.lit("broken")))
+        clip_run(broken, options, str(tmp_path / "out"), run=1)
+    assert staged(spark) == before
+
+
+def test_a_run_cut_off_is_not_seen(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    options = ClipOptions(as_of=DAY, images="download")
+    clip_run(pages(spark, "One"), options, out, run=0)
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    write = DataFrameWriter.parquet
+
+    def cut_off(self, path, *args, **kwargs):
+        if "/manifest/" in path:
+            raise OSError("killed")
+        return write(self, path, *args, **kwargs)
+
+    for run in (1, 0):  # a new run, and one that is written again
+        monkeypatch.setattr(DataFrameWriter, "parquet", cut_off)
+        with pytest.raises(OSError):
+            clip_run(pages(spark, "Two", start=run * 5), options, out, run=run)
+        monkeypatch.undo()
+        want = ["one.md"] if run else []
+        assert [r.path for r in read_notes(spark, out).collect()] == want == [r.path for r in read_catalogue(spark, out).collect()]
+        assert read_images(spark, out).count() == len(want)
+    clip_run(pages(spark, "One"), options, out, run=0)
+    clip_run(pages(spark, "One", start=5), options, out, run=1)
+    assert sorted(r.path for r in read_notes(spark, out).collect()) == ["one-2.md", "one.md"]
+
+
+def test_files_without_a_run_keep_their_names(spark, tmp_path):
+    out = str(tmp_path / "out")
+    there = spark.createDataFrame([("pic.jpg",), ("pic.png",)], "filename string")
+    clip_run(pages(spark, "One"), ClipOptions(as_of=DAY, images="download"), out, run=0, existing_images=there)
+    assert [r.filename for r in read_images(spark, out).collect()] == ["pic-2.png"]
+    failed = spark.createDataFrame([("https://h/i.png", 404, "")], "url string, status_code int, content_type string")
+    clip_run(pages(spark, "One", start=3), ClipOptions(as_of=DAY, images="download"), out, run=1, image_responses=failed)
+    assert [r.filename for r in read_images(spark, out).collect()] == ["pic-2.png"]
+
+
+LOG = "url string, seq bigint, status_code int, failure string, content_type string, body binary, range int, ending string"
+
+
+def test_every_request_has_one_row(spark, monkeypatch):
+    """Duplicates, URLs never fetched, bad ones, empty and null bodies, and many ranges of the order."""
+    from pagequill.operators import running
+
+    monkeypatch.setattr(running, "RANGE_ROWS", 3)
+    page = PAGE.format(t="One").encode()
+    log = [
+        ("https://h/ok", 1, 500, None, "", b"no"), ("https://h/ok", 2, 200, None, "text/html", page), ("https://h/ok", 3, 404, None, "", None),
+        ("https://h/gone", 1, 404, None, "", page), ("https://h/slow", 1, None, "timeout", "", None), ("https://h/down", 1, 503, None, "", page),
+        ("https://h/null", 1, 200, None, None, None), ("https://h/latin", 1, 200, None, "text/html; charset=latin-1", PAGE.format(t="Süß").encode("latin-1")),
+        ("ftp://h/ok", 1, 200, None, "", page),
+    ]
+    urls = ["https://h/ok", "https://h/gone", "ftp://h/ok", "https://h/never", "https://h/ok", "https://h/null", "https://h/slow", "https://h/down", "https://h/latin", None, "https://h/ok"]
+    asked = spark.createDataFrame([(k * 10**15, u, "x") for k, u in enumerate(urls)], "seq bigint, url string, range string")
+    attempts = spark.createDataFrame([(*r, 1, "e") for r in log], LOG)
+    taken = spark.createDataFrame([("one-2.md",)], "path string")
+    rows = clip_responses(asked, attempts, ClipOptions(as_of=DAY), taken).orderBy("seq").collect()
+    assert [(r.ending, r.stage, r.status, r.exit_code, r.path, r.attempts) for r in rows] == [
+        ("saved", "note", "success", 0, "one.md", 2), ("not_found", "fetch", "skip", 4, None, 1), ("invalid_url", "url", "error", 2, None, 0),
+        ("network_error", "fetch", "error", 2, None, 0), ("saved", "note", "success", 0, "one-3.md", 2), ("blank", "article", "skip", 0, None, 1),
+        ("timeout", "fetch", "error", 3, None, 1), ("server_error", "fetch", "error", 5, None, 1), ("saved", "note", "success", 0, "süß.md", 1),
+        ("invalid_url", "url", "error", 2, None, 0), ("saved", "note", "success", 0, "one-4.md", 2),
+    ]
+    assert all((r.content is None) == (r.path is None) and r.final == (r.path is not None) for r in rows)
+    skipped = clip_responses(asked, attempts, ClipOptions(as_of=DAY, conflict="skip"), taken).orderBy("seq").collect()
+    assert [r.ending for r in skipped if r.url == "https://h/ok"] == ["saved", "exists", "exists"]
+    none = clip_responses(asked.limit(0), attempts.limit(0), ClipOptions(as_of=DAY))
+    assert none.collect() == []
