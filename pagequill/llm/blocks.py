@@ -73,7 +73,13 @@ def _block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     )
 
 
-def open_block(ids: bytes, body: bytes) -> tuple[np.ndarray, pa.Array]:
+def each_block(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, pa.Buffer]]:
+    """Name, ids and body of one block after the other; the bodies of a batch are not copied."""
+    for row in range(batch.num_rows):
+        yield batch.column("block")[row].as_py(), batch.column("ids")[row].as_py(), batch.column("body")[row].as_buffer()
+
+
+def open_block(ids: bytes, body: bytes | pa.Buffer) -> tuple[np.ndarray, pa.Array]:
     """The ids and the texts (as large binaries) of a block. A row is named by ``block << ROW_BITS | place``."""
     steps, lengths = unpack(ids)
     bounds = np.concatenate(([0], np.cumsum(lengths)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.blocks import NO_ID, ROW_BITS, open_block, other_columns, rows_of, text_blocks
+from pagequill.llm.blocks import NO_ID, ROW_BITS, each_block, open_block, other_columns, rows_of, text_blocks
 from pagequill.llm.components import components
 from pagequill.llm.packing import deltas, pack, undelta, unpack
 from pagequill.llm.packing import runs as runs_of
@@ -150,7 +150,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, ids, body in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "body")), strict=True):
+        for block, ids, body in each_block(batch):
             id_of, data = open_block(ids, body)
             for part in texts(data):
                 hashes, rows = _sets(part, Words(part))

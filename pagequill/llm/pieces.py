@@ -15,22 +15,25 @@ itself among them) become byte pieces: so decoding gives back every text byte by
 from __future__ import annotations
 
 import heapq
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequill.llm.packing import ranges
 from pagequill.llm.staging import ship
-from pagequill.llm.words import BYTE_PRIME, Texts, inverse, mix, powers, prefix, texts
+from pagequill.llm.words import BYTE_PRIME, Texts, inverse, mix, power_at, prefix, texts
 
 DROPOUT = 0.1
 SEED = 17
 LONG = 64
-KEPT_CHUNKS = 500_000
+KEPT_BYTES = 16 << 20
+SLICE = 1 << 18
 SIDE_BY_SIDE = 30_000
 MARK = "▁"
 NEVER = np.int64(1 << 62)
@@ -39,7 +42,11 @@ NEVER = np.int64(1 << 62)
 class Pieces:
     """The vocabulary as arrays: characters, merges and the bytes of each piece."""
 
+    ARRAYS = ("byte", "char", "pair", "joined", "rank", "slot", "lengths", "offsets", "written")
+
     def __init__(self, path: str):
+        import sentencepiece
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         plain = [k for k in range(n) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
@@ -68,6 +75,30 @@ class Pieces:
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.written = np.frombuffer(b"".join(written), np.uint8)
 
+    def save(self, path: str) -> dict:
+        """Write all arrays to one file; returns what ``load`` needs to find them in it."""
+        plan: dict = {"size": self.size, "space": self.space, "arrays": {}}
+        at = 0
+        with open(path, "wb") as out:
+            for name in self.ARRAYS:
+                array = getattr(self, name)
+                plan["arrays"][name] = (array.dtype.str, at, array.nbytes)
+                padded = array.tobytes() + bytes(-array.nbytes % 8)
+                out.write(padded)
+                at += len(padded)
+        return plan
+
+    @classmethod
+    def load(cls, path: str, plan: dict) -> Pieces:
+        """The arrays of a file, mapped and not read: all workers of a machine share one copy."""
+        out = cls.__new__(cls)
+        data = np.memmap(path, np.uint8, "r")
+        out.size, out.space = plan["size"], plan["space"]
+        for name, (kind, at, n) in plan["arrays"].items():
+            setattr(out, name, data[at : at + n].view(kind))
+        out.mask = np.uint64(len(out.slot) - 1)
+        return out
+
     def _slots(self) -> None:
         """A hash table of the pairs with open addressing, so that a lookup is two or three gathers."""
         bits = max(4, int(len(self.pair) * 4).bit_length())
@@ -212,8 +243,8 @@ def merge_many(pieces: Pieces, ids: np.ndarray, counts: np.ndarray, variants: np
 
 
 class Encoder:
-    def __init__(self, path: str, seed: int = SEED, dropout: float = DROPOUT):
-        self.pieces = Pieces(path)
+    def __init__(self, model: Pieces | str, seed: int = SEED, dropout: float = DROPOUT):
+        self.pieces = model if isinstance(model, Pieces) else Pieces(model)
         self.seed, self.dropout = seed, dropout
         self._forget()
 
@@ -234,8 +265,8 @@ class Encoder:
         head[first[:-1][np.diff(first) > 0]] = 1
         number = (np.arange(len(starts)) - first[rows]).astype(np.uint64)
         variant = mix(mix(names.view(np.uint64)[rows] ^ np.uint64(self.seed)) ^ number)
-        sums = prefix(part.data.astype(np.uint64) + np.uint64(1), BYTE_PRIME)
-        spelled = (sums[ends] - sums[starts]) * powers(inverse(BYTE_PRIME), len(sums))[starts]
+        sums = prefix(part.data, BYTE_PRIME, 1)
+        spelled = (sums[ends] - sums[starts]) * power_at(inverse(BYTE_PRIME), starts)
         keys, one, back = np.unique(mix(mix(spelled) ^ (head << np.uint64(62))), return_index=True, return_inverse=True)
         self._learn(keys, part.data, starts[one], ends[one], head[one])
         found = np.searchsorted(self.keys, keys)[back]
@@ -273,7 +304,7 @@ class Encoder:
         return starts, np.append(starts[1:], len(part.data)), np.searchsorted(starts, part.bounds)
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray) -> None:
-        if len(self.keys) > KEPT_CHUNKS:
+        if sum(a.nbytes for a in (self.keys, self.at, self.sizes, *self.flat)) > KEPT_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
@@ -363,6 +394,19 @@ class Encoder:
         return data[keep], sizes - (sizes > 0)
 
 
+def ship_pieces(spark: SparkSession, model_path: str) -> tuple[str, dict]:
+    """Read a model once, in the driver, and send its arrays to every executor as one file; once for each Spark context."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_llm_pieces", {})
+    if model_path not in sent:
+        folder = tempfile.mkdtemp(prefix="llm-")
+        name = f"pieces-{uuid.uuid4().hex}.bin"
+        plan = Pieces(model_path).save(f"{folder}/{name}")
+        context.addFile(f"{folder}/{name}")
+        sent[model_path] = (name, plan)
+    return sent[model_path]
+
+
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """``(id, n_pieces, piece_ids, n_bytes, lossless)`` for each row of ``docs``.
 
@@ -370,12 +414,13 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     id draws as the smallest long does. Other columns are ignored.
     """
     ship(docs.sparkSession)
+    name, plan = ship_pieces(docs.sparkSession, model_path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path, seed, dropout)
+        encoder = Encoder(Pieces.load(SparkFiles.get(name), plan), seed, dropout)
         for batch in batches:
-            for part in texts(batch.column("text"), 2 << 20):
+            for part in texts(batch.column("text"), SLICE):
                 own = batch.column("id").slice(part.lo, part.hi - part.lo)
                 ids, counts = encoder.encode(part, own.fill_null(np.iinfo(np.int64).min).to_numpy())
                 data, sizes = encoder.decode(ids, counts)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequill.llm.blocks import NO_ID, open_block, other_columns, rows_of, text_blocks
+from pagequill.llm.blocks import NO_ID, each_block, open_block, other_columns, rows_of, text_blocks
 from pagequill.llm.packing import deltas, pack, ranges, runs, undelta, unpack
 from pagequill.llm.words import OTHER_PRIME, Words, mix, texts, window_hashes
 
@@ -82,7 +82,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
     for batch in batches:
-        for block, ids, body in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "body")), strict=True):
+        for block, ids, body in each_block(batch):
             found, rows, places = [], [], []
             for part in texts(open_block(ids, body)[1]):
                 words = Words(part)

@@ -72,29 +72,51 @@ class Words:
         return np.arange(len(self.starts)) - np.repeat(self.first[:-1], self.counts)
 
     def hashes(self) -> np.ndarray:
-        sums = prefix((self.data.astype(np.uint64) + np.uint64(1)), BYTE_PRIME)
-        return mix((sums[self.ends] - sums[self.starts]) * powers(inverse(BYTE_PRIME), len(sums))[self.starts])
+        sums = prefix(self.data, BYTE_PRIME, 1)
+        return mix((sums[self.ends] - sums[self.starts]) * power_at(inverse(BYTE_PRIME), self.starts))
 
 
 def inverse(prime: int) -> int:
     return pow(prime, -1, 1 << 64)
 
 
-@lru_cache(8)
-def _powers(prime: int, n: int) -> np.ndarray:
+#: Powers are products of two small tables, the exponent's low bits and its high ones: nothing kept grows with a text.
+LOW_BITS = 12
+STRIDE = 1 << 18
+
+
+@lru_cache(16)
+def _table(prime: int, n: int) -> np.ndarray:
     out = np.full(n, prime, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def powers(prime: int, n: int) -> np.ndarray:
-    return _powers(prime, 1 << max(10, (n - 1).bit_length()))[:n]
+def _tables(prime: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    high = 1 << max(8, (n >> LOW_BITS).bit_length())
+    return _table(prime, 1 << LOW_BITS), _table(pow(prime, 1 << LOW_BITS, 1 << 64), high)
+
+
+def power_at(prime: int, at: np.ndarray) -> np.ndarray:
+    """prime ** at, modulo 2 ** 64."""
+    low, high = _tables(prime, int(at.max()) if len(at) else 0)
+    return low[at & ((1 << LOW_BITS) - 1)] * high[at >> LOW_BITS]
+
+
+def powers(prime: int, stop: int, start: int = 0) -> np.ndarray:
+    """prime ** i for i from ``start``, a multiple of the low table's size."""
+    low, high = _tables(prime, stop)
+    return (high[start >> LOW_BITS : (stop >> LOW_BITS) + 1, None] * low).reshape(-1)[: stop - start]
 
 
-def prefix(values: np.ndarray, prime: int) -> np.ndarray:
-    """Sums of value[i] * prime ** i, modulo 2 ** 64, before each place."""
+def prefix(values: np.ndarray, prime: int, plus: int = 0) -> np.ndarray:
+    """Sums of (value[i] + plus) * prime ** i, modulo 2 ** 64, before each place. Taken in strides: a long text costs its sums alone."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(prime, len(values)), out=out[1:])
+    for lo in range(0, len(values), STRIDE):
+        hi = min(len(values), lo + STRIDE)
+        sums = out[lo + 1 : hi + 1]
+        np.cumsum((values[lo:hi].astype(np.uint64) + np.uint64(plus)) * powers(prime, hi, lo), out=sums)
+        sums += out[lo]
     return out
 
 

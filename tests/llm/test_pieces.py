@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from pagequill.llm.pieces import Encoder, encode_texts, merge_many, merge_one
+from pagequill.llm import pieces as pieces_module
+from pagequill.llm.pieces import Encoder, Pieces, encode_texts, merge_many, merge_one
 from pagequill.llm.queries import TOKENIZERS
 from pagequill.llm.words import mix
 from pagequill.llm.words import texts as parts
@@ -88,3 +89,19 @@ def test_table(docs, texts, none):
     assert all(r["lossless"] for r in got) and len(got) == len(texts)
     assert sorted(r["n_bytes"] for r in got) == sorted(len((t or "").encode()) for _, t in texts)
     assert encode_texts(none, FILE).collect() == []
+
+
+def test_arrays_shipped_as_a_file_are_the_model(tmp_path):
+    built = Pieces(FILE)
+    loaded = Pieces.load(str(tmp_path / "p"), built.save(str(tmp_path / "p")))
+    for name in Pieces.ARRAYS:
+        assert np.array_equal(getattr(built, name), getattr(loaded, name)), name
+    assert (built.size, built.space, built.mask) == (loaded.size, loaded.space, loaded.mask)
+
+
+def test_little_room_for_kept_chunks_changes_nothing(monkeypatch):
+    column = pa.array([f"{t} {k}" for k in range(5) for t in HARD if t is not None])
+    whole = pieces_of(Encoder(FILE), column.to_pylist())
+    monkeypatch.setattr(pieces_module, "KEPT_BYTES", 100)
+    encoder = Encoder(FILE)
+    assert pieces_of(encoder, column.to_pylist()) == whole == pieces_of(encoder, column.to_pylist())

@@ -40,3 +40,23 @@ def test_packing_round_trip():
     assert undelta(back[0]).tolist() == a.tolist() and back[1].tolist() == b.tolist()
     assert [x.tolist() for x in runs(np.array([1, 1, 4, 7, 7]))] == [[0, 2, 3], [2, 3, 5]]
     assert ranges(np.array([4, 0, 9]), np.array([2, 0, 3])).tolist() == [4, 5, 9, 10, 11]
+
+
+def test_powers_and_sums_over_many_strides(monkeypatch):
+    from pagequill.llm import words
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 256, 3 * (1 << 12) + 77).astype(np.uint8)
+    monkeypatch.setattr(words, "STRIDE", 1 << 12)
+    power, total = 1, 0
+    sums, powers = [0], []
+    for v in values.tolist():
+        powers.append(power)
+        total = (total + (v + 1) * power) % (1 << 64)
+        sums.append(total)
+        power = power * words.BYTE_PRIME % (1 << 64)
+    assert words.prefix(values, words.BYTE_PRIME, 1).tolist() == sums
+    assert words.powers(words.BYTE_PRIME, len(values)).tolist() == powers
+    at = rng.integers(0, len(values), 500)
+    assert words.power_at(words.BYTE_PRIME, at).tolist() == [powers[k] for k in at]
+    assert len(words.power_at(words.BYTE_PRIME, np.empty(0, np.int64))) == 0
