@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequill.llm.staging import stage
+from pagequill.llm.staging import discard, stage
 
 EDGES_A_TASK = 500_000
 
@@ -28,4 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v")).distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("low"))
         linked = large.join(lows, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+        before = stars
         stars = stage(linked.select("e.u", "e.v").where("u > v").distinct().coalesce(1 + size[0] // EDGES_A_TASK))
+        discard(before)

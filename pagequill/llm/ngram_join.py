@@ -26,12 +26,13 @@ from pagequill.llm.blocks import NO_ID, ROW_BITS, each_block, open_block, other_
 from pagequill.llm.components import components
 from pagequill.llm.packing import deltas, pack, undelta, unpack
 from pagequill.llm.packing import runs as runs_of
-from pagequill.llm.staging import stage
+from pagequill.llm.staging import discard, stage
 from pagequill.llm.words import Words, mix, shingles, texts
 
 SIZE = 5
 THRESHOLD = 0.8
 LIMIT = 1024
+PROBED = 16
 DENSE = 0.8  # of a bucket's sets under one shingle: splitting does not part them
 CHOSEN = (4.0, 3.0, 3.0)  # shingles that two sets at the threshold are expected to choose in common, by level
 LEVELS = len(CHOSEN)
@@ -102,7 +103,7 @@ def _grouped(blocks: DataFrame) -> DataFrame:
     first = F.min(F.struct("id", "ref", "n", "sketch", "chosen")).alias("c")
     classes = described.where("n > 0").groupBy("sig_a", "sig_b").agg(first, F.count("*").alias("copies"))
     classes = stage(classes.select("sig_a", "sig_b", "copies", "c.id", "c.ref", "c.n", "c.sketch", "c.chosen"))
-    found = linked(blocks, classes)
+    found = linked(blocks, classes)  # staged
     names = classes.select("ref", "id", "copies")
     joined = found.where("links is not null").groupBy(F.col("a").alias("ref")).agg(F.sum("links").alias("linked"))
     roots = components(found.where("a is not null and links is null").select("a", "b")).select(F.col("node").alias("ref"), "root")
@@ -123,7 +124,10 @@ def _grouped(blocks: DataFrame) -> DataFrame:
 
 def linked(blocks: DataFrame, classes: DataFrame) -> DataFrame:
     """``(a, null, links)``, the links of each class to other rows; ``(a, b, null)``, links that join all that are joined."""
-    return _verify(blocks, classes, _plausible(classes, _leaves(classes)))
+    near = _plausible(classes, _leaves(classes))
+    found = _verify(blocks, classes, near)
+    discard(near)
+    return found
 
 
 def _chosen(hashes: np.ndarray, sizes: np.ndarray, seed: int, common: float) -> np.ndarray:
@@ -198,26 +202,44 @@ def _leaves(classes: DataFrame) -> DataFrame:
     """
     rows = classes.select("ref", F.posexplode("chosen").alias("at", "tokens")).select("ref", "at", F.explode("tokens").alias("token"))
     rows = rows.select("ref", F.xxhash64("at", "token").alias("leaf"))
-    out = None
+    out, done = None, []
     for level in range(LEVELS):
         sizes = rows.groupBy("leaf").agg(F.count("*").alias("held")).where("held > 1")
         rows = stage(rows.join(sizes, "leaf"))
         large = stage(rows.where(F.col("held") > LIMIT))  # mostly a small table, whose known size spares the sets a shuffle
+        done += [rows, large]
         last = level + 1 == LEVELS or large.isEmpty()
         if last:
             leaves = rows
         else:
-            deeper = large.withColumnRenamed("leaf", "parent").join(classes.select("ref", "n", "sketch"), "ref").select("ref", "parent", "held", _drawn(level + 1))
-            deeper = stage(deeper.select("ref", "parent", "held", F.xxhash64("parent", "token").alias("leaf")))
-            parts = deeper.groupBy("parent", "leaf").agg(F.count("*").alias("part"), F.first("held").alias("held"))
-            dense = stage(parts.groupBy("parent").agg(F.max(F.col("part") / F.col("held")).alias("most")).where(F.col("most") >= DENSE).select("parent"))
+            parents = large.withColumnRenamed("leaf", "parent")
+            dense = stage(_dense(parents, classes, level + 1))
+            done.append(dense)
             dense_rows = large.join(dense, large["leaf"] == dense["parent"], "left_semi")
             leaves = rows.where(F.col("held") <= LIMIT).union(dense_rows)
-            rows = deeper.join(dense, "parent", "left_anti").select("ref", "leaf")
+            # only what is split draws, a hot bucket that no split parts does not
+            sparse = parents.join(dense, "parent", "left_anti").join(classes.select("ref", "n", "sketch"), "ref")
+            rows = sparse.select("ref", "parent", _drawn(level + 1)).select("ref", F.xxhash64("parent", "token").alias("leaf"))
         out = leaves if out is None else out.union(leaves)
         if last:
             break
-    return stage(_merged(out.select("leaf", "ref")))
+    merged = stage(_merged(out.select("leaf", "ref")))
+    discard(*done)
+    return merged
+
+
+def _dense(parents: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """The buckets that hold ``DENSE`` or more of their sets under one drawn shingle, ``parent``.
+
+    That share is estimated from the sets of one in ``PROBED`` hashes, 64 or more of a bucket. It only decides how a
+    bucket is worked on: as a dense one, whole and in tiles, or as one that is split. Both find the links.
+    """
+    probed = parents.where(F.pmod(F.xxhash64("ref", "parent", F.lit(13)), F.lit(PROBED)) == 0)
+    held = probed.groupBy("parent").agg(F.count("*").alias("probes"))
+    draws = probed.join(classes.select("ref", "n", "sketch"), "ref").select("parent", _drawn(level))
+    parts = draws.groupBy("parent", "token").agg(F.count("*").alias("part"))
+    most = parts.groupBy("parent").agg(F.max("part").alias("most")).join(held, "parent")
+    return most.where(F.col("most") >= DENSE * F.col("probes")).select("parent")
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -248,7 +270,11 @@ def _plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
     rows = leaves.join(classes.select("ref", "n", "sketch"), "ref")
     tiles = _tiled(rows)
     near = _groups(tiles, tiles.count() * (4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, ref long")
-    return stage(_merged(stage(near.distinct())))
+    found = stage(near.distinct())
+    discard(leaves)
+    merged = stage(_merged(found))
+    discard(found)
+    return merged
 
 
 def _verify(blocks: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:

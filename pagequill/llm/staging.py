@@ -26,7 +26,16 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and read it back, so later jobs neither recompute it nor depend on its executors."""
     path = f"{shared_root(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_path = path  # type: ignore[attr-defined]
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing will read again."""
+    for df in staged:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship(spark: SparkSession) -> None:

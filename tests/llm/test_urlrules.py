@@ -36,3 +36,20 @@ def test_ties_and_no_rules(spark):
     assert judge_urls(frame, spark.createDataFrame(rules, RULES)).first()["verdict"] == "allow"
     assert judge_urls(frame, spark.createDataFrame([], RULES), default="block").first()["verdict"] == "block"
     assert judge_urls(frame.limit(0), spark.createDataFrame(rules, RULES)).collect() == []
+
+
+def test_any_column_names_and_hot_urls(spark, monkeypatch):
+    from pagequill.llm import urlrules
+
+    monkeypatch.setattr(urlrules, "HEAVY", 4)
+    names = ("u", "n", "digest", "part", "row", "short", "found", "action", "url")
+    hot = "https://www.EXAMPLE.com/en/1?x"
+    rows = [(*range(8), u) for u in [*CASES, *[hot] * 9]]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'url' else 'int'}" for n in names))
+    judged = judge_urls(frame, spark.createDataFrame(URL_RULES, RULES))
+    assert judged.columns == [*names, "host", "path", "rule", "verdict"]
+    got = judged.collect()
+    assert len(got) == len(rows) and all((r["host"], r["path"], r["rule"], r["verdict"]) == CASES[r["url"]] and r["u"] == 0 for r in got)
+    for name in ("host", "path", "rule", "verdict"):
+        named = judge_urls(frame.select(frame["url"].alias(name)), spark.createDataFrame(URL_RULES, RULES), url_col=name).collect()
+        assert sorted((r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in named) == sorted((h, p, r or "", v) for h, p, r, v in (CASES[x["url"]] for x in got))
