@@ -175,8 +175,11 @@ def _with_saved(wanted: DataFrame, responses: DataFrame) -> DataFrame:
     keys = ["page_id", "src_abs"] if "page_id" in responses.columns else ["src_abs"]
     accepted = accept_image_responses(responses).withColumnRenamed("url", "src_abs")
     accepted = accepted.select(*keys).distinct().withColumn("saved", F.lit(True))
-    ranged = wanted.withColumn("range", range_of(wanted, "place"))
-    met = join_by_block(ranged, accepted, keys, "range").drop("range")
+    ranges = range_of(wanted, "place")
+    if ranges is None:
+        met = wanted.join(accepted, keys, "left")
+    else:
+        met = join_by_block(wanted.withColumn("range", ranges), accepted, keys, "range").drop("range")
     return met.withColumn("saved", F.coalesce("saved", F.lit(False)))
 
 

@@ -78,16 +78,19 @@ def assign_names(requests: DataFrame, taken: DataFrame | None, conflict: str) ->
     if conflict not in CONFLICT_MODES:
         raise ValueError(f"unknown conflict mode: {conflict}")
     requests = stage(requests)
-    requests = requests.withColumn("block", range_of(requests, "place"))
+    ranges = range_of(requests, "place")
+    block = None if ranges is None else "block"
+    requests = requests.withColumn("block", F.lit(0).cast("bigint") if ranges is None else ranges)
     if taken is None:
-        taken = requests.select(*NAME).limit(0)
-    taken = stage(taken.distinct().withColumn("cat", F.lit(True)))
+        taken = requests.sparkSession.createDataFrame([], "stem string, ext string, cat boolean")
+    else:
+        taken = stage(taken.distinct().withColumn("cat", F.lit(True)))
     may_fail = "saved" in requests.columns
     if conflict == "suffix":
-        return _suffixed_or_failed(requests, taken) if may_fail else _suffixed(requests, taken)
+        return _suffixed_or_failed(requests, taken, block) if may_fail else _suffixed(requests, taken, block)
     if conflict == "skip" and may_fail:
-        requests = stage(first_kept(requests))
-    ranked = _ranked(requests, taken)
+        requests = stage(first_kept(requests, block))
+    ranked = _ranked(requests, block, taken)
     own = F.concat("stem", "ext")
     fresh = (F.col("rank") == 1) & ~F.col("cat")
     if conflict == "overwrite":
@@ -107,11 +110,19 @@ def assign_names(requests: DataFrame, taken: DataFrame | None, conflict: str) ->
     )
 
 
-def _ranked(requests: DataFrame, *flags: DataFrame) -> DataFrame:
+def _ranked(requests: DataFrame, block: str | None, *flags: DataFrame) -> DataFrame:
     """Add ``rank`` (1, 2, ... per name in seq order), ``total`` and boolean flags known per name.
 
-    Flags join the per-block counts, not the requests, so a hot name joins once per block.
+    Flags join the per-block counts, not the requests, so a hot name joins once per block. ``block`` is None where all
+    requests are in one.
     """
+    if block is None:
+        name = Window.partitionBy(*NAME)
+        ranked = requests.withColumn("rank", F.row_number().over(name.orderBy("seq"))).withColumn("total", F.count("*").over(name))
+        for flag in flags:
+            column = next(c for c in flag.columns if c not in NAME)
+            ranked = ranked.join(flag, NAME, "left").withColumn(column, F.coalesce(column, F.lit(False)))
+        return ranked
     inside = Window.partitionBy(*NAME, "block").orderBy("seq")
     local = requests.withColumn("_local", F.row_number().over(inside))
     counts = carry(requests.groupBy(*NAME, "block").agg(F.count("*").alias("_sum")), NAME, "block")
@@ -173,7 +184,7 @@ def _contested(requests: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
-def _with_requests_before(kids: DataFrame, requests: DataFrame, taken: DataFrame) -> DataFrame:
+def _with_requests_before(kids: DataFrame, requests: DataFrame, taken: DataFrame, block: str | None) -> DataFrame:
     """Add ``before``: requests for the parent ahead of the first one for the kid."""
     marks = kids.filter(F.col("first_seq").isNotNull()).select(
         F.col("parent").alias("stem"),
@@ -185,12 +196,16 @@ def _with_requests_before(kids: DataFrame, requests: DataFrame, taken: DataFrame
     )
     # parents are matched per block of requests, so a hot name is joined once per block
     parents = kids.select(F.col("parent").alias("stem"), "ext").distinct()
-    blocks = requests.select(*NAME, "block").distinct().join(parents, NAME, "left_semi")
-    asked = requests.join(blocks, [*NAME, "block"], "left_semi").select(
+    if block is None:
+        wanted = requests.join(parents, NAME, "left_semi")
+    else:
+        blocks = requests.select(*NAME, "block").distinct().join(parents, NAME, "left_semi")
+        wanted = requests.join(blocks, [*NAME, "block"], "left_semi")
+    asked = wanted.select(
         *NAME, "block", "seq", F.lit(1).alias("one"), F.lit(None).cast("string").alias("kid")
     )
     counted = (
-        running_total(marks.unionByName(asked), NAME, "block", ["seq"], "one", "before")
+        running_total(marks.unionByName(asked), NAME, block, ["seq"], "one", "before")
         .filter(F.col("kid").isNotNull())
         .select(F.col("kid").alias("stem"), "ext", "before")
     )
@@ -325,20 +340,20 @@ def _down_the_nesting(facts: DataFrame) -> DataFrame:
     return settled
 
 
-def _suffixed_or_failed(requests: DataFrame, taken: DataFrame) -> DataFrame:
+def _suffixed_or_failed(requests: DataFrame, taken: DataFrame, block: str | None) -> DataFrame:
     """``_suffixed`` where some requests are not saved: three ways, by what happens in a family of names."""
     requests = requests.withColumn("root", root_of(F.col("stem")))
     failing = stage(requests.filter(~F.col("saved")).select(*FAMILY).distinct().withColumn("fails", F.lit(True)))
     if failing.isEmpty():
-        return _suffixed(requests.drop("root"), taken)
+        return _suffixed(requests.drop("root"), taken, block)
     met = _contested(requests, taken).filter(F.col("first_seq").isNotNull()).select(root_of(F.col("stem")).alias("root"), "ext").distinct()
     families = stage(failing.join(met.withColumn("meets", F.lit(True)), FAMILY, "left"))
-    split = stage(join_by_block(requests, families, FAMILY, "block"))
+    split = stage(join_by_block(requests, families, FAMILY, block))
     alone = split.filter(F.coalesce("meets", F.lit(False))).drop("fails", "meets")
     split = split.filter(F.col("meets").isNull())
     placed = free_places(split.filter("fails").drop("root", "fails", "meets"))
     safe = split.filter(F.col("fails").isNull()).drop("root", "fails", "meets").withColumn("index", F.lit(None).cast("bigint"))
-    named = _suffixed(stage(safe.unionByName(placed)), taken).drop("index")
+    named = _suffixed(stage(safe.unionByName(placed)), taken, block).drop("index")
     return named.unionByName(_with_paths(numbered_one_by_one(alone, taken), [c for c in requests.columns if c != "root"]))
 
 
@@ -354,18 +369,18 @@ def _with_paths(numbered: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _suffixed(requests: DataFrame, taken: DataFrame) -> DataFrame:
+def _suffixed(requests: DataFrame, taken: DataFrame, block: str | None) -> DataFrame:
     contested = stage(_contested(requests, taken))
     any_contested = not contested.isEmpty()
     lost = taken.select(*NAME, F.lit(True).alias("lost"))
     if any_contested:
-        settled = _settle(_with_requests_before(contested, requests, taken))
+        settled = _settle(_with_requests_before(contested, requests, taken, block))
         lost = lost.unionByName(settled.filter(~F.col("held")).select(*NAME, F.lit(True).alias("lost"))).distinct()
         held = settled.filter("held").select(F.col("parent").alias("stem"), "ext", "k", "k_block")
         parents = held.select(*NAME).distinct().withColumn("crowded", F.lit(True))
-        ranked = _ranked(requests, lost, parents)
+        ranked = _ranked(requests, block, lost, parents)
     else:
-        ranked = _ranked(requests, lost).withColumn("crowded", F.lit(False))
+        ranked = _ranked(requests, block, lost).withColumn("crowded", F.lit(False))
     if "index" in requests.columns:  # place among the free numbers, where some are given back
         ranked = ranked.withColumn("rank", F.coalesce("index", "rank"))
     # j-th request that cannot have the plain name; 0 for the one that can

@@ -35,7 +35,7 @@ def root_of(stem: Column) -> Column:
     return F.regexp_replace(stem, _TAILS, "")
 
 
-def first_kept(requests: DataFrame) -> DataFrame:
+def first_kept(requests: DataFrame, block: str | None) -> DataFrame:
     """Add ``fresh`` under the rule that a taken name is skipped.
 
     The first request of a page gets the name, up to and including the first page where that request is saved.
@@ -43,7 +43,7 @@ def first_kept(requests: DataFrame) -> DataFrame:
     on_page = F.row_number().over(Window.partitionBy(*NAME, "place").orderBy("seq"))
     opening = requests.withColumn("opens", on_page == 1)
     until = opening.filter(F.col("opens") & F.col("saved")).groupBy(*NAME).agg(F.min("place").alias("until"))
-    joined = join_by_block(opening, until, NAME, "block")
+    joined = join_by_block(opening, until, NAME, block)
     return joined.withColumn("fresh", F.col("opens") & (F.col("until").isNull() | (F.col("place") <= F.col("until")))).drop("opens", "until")
 
 

@@ -121,7 +121,7 @@ def clip_responses(
     """
     asked = validate_urls(urls.select(F.col("seq").cast("bigint").alias("seq"), "url"))
     asked = stage(asked)
-    asked = asked.withColumn("range", range_of(asked, "seq"))
+    asked = asked.withColumn("range", ranges if (ranges := range_of(asked, "seq")) is not None else F.lit(0).cast("bigint"))
     ends = last_attempts(attempts, max_attempts).select("url", F.col("seq").alias("try"), "outcome", "attempts")
     met = join_by_block(asked, ends, ["url"], "range")
     fetched = F.coalesce("outcome", F.lit("network_error"))
