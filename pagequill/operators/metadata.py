@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import cached_column, let, strip
 from ..functions.entities import decode_entities
-from ..functions.html import BLOCK_TAGS, attr_first, attributes, first_index, is_open, text_until
+from ..functions.html import attr_first, attributes, first_index, is_open, text_until
 from ..functions.text import clean_text, keyword_tags, parse_date
 from .tokens import meta_array, with_tokens
 
