@@ -23,7 +23,6 @@ from pagequill.llm.labelled import SAMPLE_ROWS, held_out, sample
 from pagequill.llm.staging import ship, stage
 
 CUTOFF = 0.7
-TERMS = 400
 LEAST_TEXTS = 3
 LEAST_EVIDENCE = 12.0  # of the likelihood ratio; more where so many words are tried that chance would give some
 FUZZY_LENGTH = 5  # shorter terms must match exactly
@@ -183,10 +182,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(found: DataFrame) -> dict[str, float]:
-    """At most TERMS terms of the sample ``(id, text, y)`` with the most evidence, and their log odds.
+    """All terms of the sample ``(id, text, y)`` with enough evidence, and their log odds.
 
-    The evidence asked for grows with the number of words tried, so that about one of them passes by chance.
+    The evidence asked for grows with the number of words tried, so that about one of them passes by chance. The sample
+    bounds the terms: each stands in LEAST_TEXTS of its toxic texts at least, far oftener than in others.
     """
+    ship(found.sparkSession)
     size = found.agg(F.count_if(F.col("y") >= 0.5), F.count_if(F.col("y") < 0.5)).first()
     if not size[0] or not size[1]:
         return {}
@@ -199,7 +200,7 @@ def learn_lexicon(found: DataFrame) -> dict[str, float]:
     evidence = 2 * (part(F.col("a"), share * size[0]) + part(F.col("b"), share * size[1]) + part(size[0] - F.col("a"), (1 - share) * size[0]) + part(size[1] - F.col("b"), (1 - share) * size[1]))
     weight = F.log((F.col("a") + 0.5) / (size[0] + 1.0)) - F.log((F.col("b") + 0.5) / (size[1] + 1.0))
     best = words.select("word", evidence.alias("evidence"), weight.alias("weight")).where(F.col("evidence") >= least).where("weight > 2")
-    return {r["word"]: r["weight"] for r in best.orderBy(F.desc("evidence"), "word").limit(TERMS).collect()}
+    return {r["word"]: r["weight"] for r in best.collect()}
 
 
 def fit(lexicon: Lexicon, x: np.ndarray, y: np.ndarray) -> Model:
@@ -261,7 +262,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     ship(spark)
-    held_model = spark.sparkContext.broadcast(model)  # bounded by TERMS
+    held_model = spark.sparkContext.broadcast(model)  # bounded by the sample
     taken = ("held_out", "score", "predicted", "llm_lower")
     rows = docs.drop(*taken).withColumns({"held_out": held_out(F.col(id_col)), "llm_lower": F.lower(text_col)})
     names = [c for c in rows.columns if c != "llm_lower"]
