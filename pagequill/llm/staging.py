@@ -32,10 +32,16 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def discard(*staged: DataFrame) -> None:
-    """Remove staged tables that nothing will read again."""
+    """Remove staged tables that nothing will read again.
+
+    Spark removes the shuffle files of ended jobs when the driver collects what named them. That is asked for here, so
+    that a long chain of staged steps holds the files of its last ones and not of all.
+    """
     for df in staged:
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    if staged:
+        staged[0].sparkSession._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
