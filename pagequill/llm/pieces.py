@@ -33,7 +33,7 @@ DROPOUT = 0.1
 SEED = 17
 LONG = 64
 KEPT_BYTES = 16 << 20
-SLICE = 1 << 18
+SLICE = 1 << 20
 SIDE_BY_SIDE = 30_000
 MARK = "▁"
 NEVER = np.int64(1 << 62)
