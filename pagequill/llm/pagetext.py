@@ -13,7 +13,10 @@ import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from pagequill.llm.urlrules import url_host, url_path
 
 SCHEMA = "page_id long, url string, text string"
 PAGES_A_TASK = 1000
+MATCHES = 32  # pairs of equal lines for each line of two pages, up to which pairs are walked
+MASK_BYTES = 16 << 20  # of the places of repeated lines that are kept as bits
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 # Element and attribute names that mark parts of a page.
@@ -112,22 +117,18 @@ def page_lines(source: str) -> list[tuple[int, str]]:
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``.
 
-    A line that a page holds over 32 times is aligned by its number, so that repeats do not multiply.
+    Walks the pairs of equal lines. Where lines repeat so often that there are over MATCHES pairs a line, rows of bits
+    are walked in place of pairs: as exact, but of equally long subsequences it takes the one that comes first in ``a``.
     """
     places: dict[str, list[int]] = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
+    if sum(len(places.get(line, ())) for line in a) > MATCHES * (len(a) + len(b)):
+        return _shared_by_bits(a, b)
     ends: list[int] = []
-    at: list[tuple[int, int]] = []  # of each length's best end: place in a, and the pair before it
-    before: list[tuple[int, tuple] | None] = []
-    seen: dict[str, int] = {}
+    before: list[tuple[int, tuple] | None] = []  # of each length's best end: place in a, and the pair before it
     for i, line in enumerate(a):
-        found = places.get(line, ())
-        if len(found) > 32:
-            k = seen.get(line, 0)
-            seen[line] = k + 1
-            found = found[k : k + 1]
-        for j in reversed(found):
+        for j in reversed(places.get(line, ())):
             k = bisect_left(ends, j)
             link = (i, before[k - 1] if k else None)
             if k == len(ends):
@@ -143,6 +144,54 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _shared_by_bits(a: list[str], b: list[str]) -> set[int]:
+    """:func:`shared_lines` by bits. Bit j of a row's number is set if some length has its first end at place j of ``b``.
+
+    A row follows from the one before it in a few steps on whole numbers. Every so many rows one is kept; those between
+    are made again on the way back, so memory grows with the square root of ``a`` times ``b`` in bits.
+    """
+    kept = set(a)
+    b = [line for line in b if line in kept]  # no other line bears on the ends
+    kept = set(b)
+    rows = [i for i, line in enumerate(a) if line in kept]
+    size = len(b)
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+
+    @lru_cache(max(1, MASK_BYTES // (size // 8 + 1)))
+    def mask(line: str) -> int:
+        bits = np.zeros(size, np.uint8)
+        bits[places[line]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def after(ends: int, line: str) -> int:
+        """In each stretch up to an old end the first place with this line is the new end, else the old one."""
+        all_ends = ends | mask(line)
+        return all_ends & ((all_ends - (ends << 1 | 1)) ^ all_ends)
+
+    step = isqrt(len(rows)) + 1
+    starts, ends = [], 0
+    for at, i in enumerate(rows):
+        if at % step == 0:
+            starts.append(ends)
+        ends = after(ends, a[i])
+    out: set[int] = set()
+    end = ends.bit_length() - 1  # of the length looked for
+    for chunk in range(len(starts) - 1, -1, -1):
+        if end < 0:
+            break
+        own = rows[chunk * step : (chunk + 1) * step]
+        before = [starts[chunk]]
+        for i in own[:-1]:
+            before.append(after(before[-1], a[i]))
+        for i, earlier in zip(reversed(own), reversed(before), strict=True):
+            if end >= 0 and not earlier >> end & 1:  # this end was set here
+                out.add(i)
+                end = (earlier & ((1 << end) - 1)).bit_length() - 1
+    return out
+
+
 def main_text(lines: list[tuple[int, str]], partner: list[tuple[int, str]] | None) -> str:
     """What is left of a page: its marked article, or else its lines without those of the template.
 

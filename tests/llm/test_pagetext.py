@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import random
+from functools import cache
+
 import pytest
 
+from pagequill.llm import pagetext
 from pagequill.llm.pagetext import MINE, extract_text, main_text, page_lines, shared_lines
 
 CASES = {
@@ -27,6 +31,35 @@ def test_shared_lines_are_a_longest_common_subsequence():
     assert shared_lines([], ["a"]) == set()
 
 
+def test_lines_repeated_often_are_aligned_in_full():
+    menu = ["x"] * 40
+    assert shared_lines(["m", *menu], [*menu, "m", *menu]) == set(range(41))  # by their numbers the x meet those before m
+    assert shared_lines([*menu, "m"], [*menu, "m", *menu]) == set(range(41))
+    assert len(shared_lines(["x", "y"] * 3000, ["y", "x", "x"] * 3000)) == 6000 - 1
+
+
+def test_pairs_and_bits_give_a_longest_subsequence(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 60))] for _ in "ab")
+        @cache
+        def longest(i, j):
+            return 0 if i < 0 or j < 0 else longest(i - 1, j - 1) + 1 if a[i] == b[j] else max(longest(i - 1, j), longest(i, j - 1))  # noqa: B023
+
+        for matches in (10**9, -1):  # all by pairs, all by bits
+            monkeypatch.setattr(pagetext, "MATCHES", matches)
+            found = sorted(shared_lines(a, b))
+            rest = iter(b)
+            assert all(a[i] in rest for i in found) and len(found) == longest(len(a) - 1, len(b) - 1)
+
+
+def test_a_menu_of_many_equal_lines_is_no_text(spark):
+    menu, own = "<div>x</div>" * 40, "<p>Own {}</p>"
+    pages = [(0, "https://h.example/0", menu + "<div>Top</div>" + menu + own.format(0)), (1, "https://h.example/1", "<div>Top</div>" + menu + own.format(1))]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Own 1"
+
+
 def test_pages_are_compared_with_their_neighbours(spark):
     page = "<div>Top line</div><p>Own {}</p><div>Bottom line</div>"
     rows = [(k, f"https://h.example/a/{k}", page.format(k)) for k in range(6)]
