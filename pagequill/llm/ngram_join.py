@@ -4,9 +4,10 @@ A text is the set of its shingles of ``SIZE`` words (all its words, if fewer). S
 follows a few of its own shingles, chosen by a hash, so that similar sets choose common ones. A bucket of at most
 ``LIMIT`` sets is a leaf; a larger one is split again, up to ``LEVELS`` times, unless a shingle holds nearly all of it
 together: such dense buckets are leaves as well. Leaves are compared set by set, in tiles of bounded size: first by small
-sketches, then, for sets that may have a partner, on the whole sets. A tile counts a link only in the first leaf that
-its two sets share, and what leaves it is one count for each set and the links that hold its sets together, never its
-pairs. There are as many runs with new hashes as a link needs to be found with probability ``TARGET`` in the worst case:
+sketches, then, for sets that may have a partner, on the whole sets. For the second step, sets that sketches hold together
+in groups of at most ``LIMIT`` meet once, as a group, and not in each of their leaves; larger groups meet by their leaves.
+A tile counts a link only in the first leaf that its two sets share, and what leaves it is one count for each set and the
+links that hold its sets together, never its pairs. There are as many runs with new hashes as a link needs to be found with probability ``TARGET`` in the worst case:
 at the threshold, with every bucket that its sets share split ``LEVELS`` - 1 times. No other links bear on it.
 
 Equal sets are one class from the start, whatever the number of copies.
@@ -43,6 +44,7 @@ DRAWS = 1 << 30  # steps of a draw by parent
 TILE = 1024
 TILE_BYTES = 32 << 20
 COLUMNS = 4096
+PAIRS = 1 << 20  # of a task that wait to be joined
 DROPPED = np.uint64(16)  # bits of a shingle hash that a set is sent without; 48 tell shingles of two sets apart
 
 
@@ -266,26 +268,40 @@ def _groups(rows: DataFrame, total: int) -> DataFrame:
 
 
 def _plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The rows of ``leaves`` that, by their sketches, may be linked with another set of the leaf, staged."""
+    """The rows ``(leaf, held, ref)`` of sets that, by their sketches, may be linked with another set of the leaf, staged.
+
+    Sets held together by such pairs in all are one leaf, so that each is sent once, unless they are over ``LIMIT``.
+    """
     rows = leaves.join(classes.select("ref", "n", "sketch"), "ref")
     tiles = _tiled(rows)
-    near = _groups(tiles, tiles.count() * (4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, ref long")
-    found = stage(near.distinct())
+    near = _groups(tiles, tiles.count() * (4 * SKETCH + 40)).applyInArrow(_sketched, "leaf long, ref long, head long")
+    found = stage(near)
     discard(leaves)
-    merged = stage(_merged(found))
-    discard(found)
-    return merged
+    roots = stage(components(found.select(F.col("ref").alias("a"), F.col("head").alias("b"))))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("held"))
+    small = roots.join(sizes.where(F.col("held") <= LIMIT), "root").select(F.xxhash64("root", F.lit(11)).alias("leaf"), F.col("node").alias("ref"), "held")
+    large = stage(roots.join(sizes.where(F.col("held") > LIMIT), "root").select(F.col("node").alias("ref")))
+    if large.isEmpty():
+        out = stage(small)
+    else:
+        out = stage(small.unionByName(_merged(found.join(large, "ref", "left_semi").select("leaf", "ref").distinct())))
+    discard(found, roots, large)
+    return out
 
 
 def _verify(blocks: DataFrame, classes: DataFrame, near: DataFrame) -> DataFrame:
     """Counts and joining links as :func:`linked` returns them, staged."""
-    lists = near.groupBy("ref").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    wanted = lists.join(classes.select("ref", "copies"), "ref").withColumn("block", F.shiftright("ref", ROW_BITS))
-    wanted = wanted.select("block", "ref", "copies", "leaves")
-    sets = rows_of(blocks, wanted, _fetch, "ref long, copies long, leaves array<long>, body binary", ("ids", "body"))
-    size = _tiled(near.join(classes.select("ref", "n"), "ref")).agg(F.sum(F.lit(100) + 8 * F.col("n"))).first()[0] or 0
-    rows = near.select("ref", "leaf", "held").join(sets, "ref")
-    return stage(_groups(_tiled(rows), size).applyInArrow(_compare, "a long, b long, links long"))
+    lists = near.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("leaf", "held"))).alias("met"))
+    wanted = lists.join(classes.select("ref", "copies", "n"), "ref").withColumn("block", F.shiftright("ref", ROW_BITS))
+    wanted = stage(wanted.select("block", "ref", "copies", "n", F.col("met.leaf").alias("leaves"), F.col("met.held").alias("sizes")))
+    tiles = F.aggregate("sizes", F.lit(0).cast("long"), lambda sent, held: sent + F.ceil(held / TILE))
+    size = wanted.agg(F.sum((F.lit(100) + 8 * F.col("n")) * tiles)).first()[0] or 0
+    sets = rows_of(blocks, wanted.drop("n"), _fetch, "ref long, copies long, leaves array<long>, sizes array<long>, body binary", ("ids", "body"))
+    met = sets.select("ref", "copies", "leaves", "body", F.explode(F.arrays_zip("leaves", "sizes")).alias("met"))
+    rows = met.select("ref", "copies", "leaves", "body", F.col("met.leaves").alias("leaf"), F.col("met.sizes").alias("held"))
+    found = stage(_groups(_tiled(rows), size).applyInArrow(_compare, "a long, b long, links long"))
+    discard(wanted)
+    return found
 
 
 def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -300,9 +316,8 @@ def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
             for row, lo, hi in zip(rows[(r := runs_of(rows))[0]].tolist(), *r, strict=True):
                 body[seen + row] = pack(deltas(hashes[lo:hi] >> DROPPED))  # sorted, so small steps
             seen += part.hi - part.lo
-    leaves = right.column("leaves").cast(pa.list_(pa.int64()))  # Spark declares its items never null
-    out = {"ref": right.column("ref"), "copies": right.column("copies"), "leaves": leaves, "body": pa.array(body, pa.binary())}
-    return pa.table(out)
+    lists = {c: right.column(c).cast(pa.list_(pa.int64())) for c in ("leaves", "sizes")}  # Spark declares their items never null
+    return pa.table({"ref": right.column("ref"), "copies": right.column("copies"), **lists, "body": pa.array(body, pa.binary())})
 
 
 def _by_tile(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -342,8 +357,11 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> np.ndarray:
 def _sketched(table: pa.Table) -> pa.Table:
     sketch = table.column("sketch").combine_chunks()
     bounds, flat = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint32)  # sorted as such
-    n = table.column("n").to_numpy()
+    n, ref = table.column("n").to_numpy(), table.column("ref").to_numpy()
     keep = np.zeros(table.num_rows, bool)
+    head = np.arange(table.num_rows)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
     for a, b in _by_tile(table):
         if not len(a) or not len(b):
             continue
@@ -354,7 +372,28 @@ def _sketched(table: pa.Table) -> pa.Table:
             np.fill_diagonal(near, False)
         keep[a[near.any(1)]] = True
         keep[b[near.any(0)]] = True
-    return table.select(["leaf", "ref"]).filter(pa.array(keep))
+        i, j = np.nonzero(np.triu(near) if a is b else near)
+        pairs.append((a[i], b[j]))
+        waiting += len(i)
+        if waiting > PAIRS:
+            head, pairs, waiting = _heads(head, pairs), [], 0
+    head = _heads(head, pairs)
+    return table.select(["leaf", "ref"]).append_column("head", pa.array(ref[head])).filter(pa.array(keep))
+
+
+def _heads(head: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of each place the smallest one that it is joined to, by ``head`` so far and by ``pairs``."""
+    if not pairs:
+        return head
+    i, j = (head[np.concatenate(side)] for side in zip(*pairs, strict=True))
+    while len(i := i[(apart := i != j)]):
+        j = j[apart]
+        low = np.arange(len(head))
+        np.minimum.at(low, np.maximum(i, j), np.minimum(i, j))
+        while (low[low] != low).any():
+            low = low[low]
+        head, i, j = low[head], low[i], low[j]
+    return head
 
 
 def _compare(table: pa.Table) -> pa.Table:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from pagequill.llm import ngram_join
@@ -68,6 +69,29 @@ def test_a_hot_group_does_not_decide_for_borderline_links(spark, limit, pairs, m
     assert got == {i: 1 if i < 10**6 else 399 for i, _ in rows}
 
 
+def test_sets_of_small_groups_are_sent_once(docs, monkeypatch):
+    sent, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda blocks, classes, near: sent.append(near.collect()) or verify(blocks, classes, near))
+    similar_documents(docs).collect()
+    refs = [r["ref"] for r in sent[0]]
+    assert refs and len(refs) == len(set(refs))
+
+
+def test_heads_are_the_smallest_places_that_pairs_join():
+    rng = random.Random(3)
+    for n in (1, 2, 40, 300):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+        want = list(range(n))
+        for _ in range(n):
+            for i, j in pairs:
+                want[i] = want[j] = min(want[i], want[j])
+        cut = n // 2
+        head = np.arange(n)
+        for part in (pairs[:cut], pairs[cut:], []):  # in parts, as those of a large task are
+            head = ngram_join._heads(head, [tuple(np.array(side) for side in zip(*part, strict=True))] if part else [])
+        assert head.tolist() == want
+
+
 def test_runs_are_those_of_the_worst_case():
     for depth in range(ngram_join.LEVELS):
         assert ngram_join.missed(ngram_join.RUNS, depth) <= 1 - ngram_join.TARGET
