@@ -207,3 +207,15 @@ def test_repeated_blocks(spark, monkeypatch, heavy):
     rows = blocks.main_blocks(table, max_host_repeat=3).collect()
     assert sorted(r.text for r in rows) == sorted(f"own {i}" for i in range(5) for _ in range(2))
     assert blocks.render_markdown(table, max_host_repeat=3).count() == 6
+
+
+def test_no_text_is_made_of_blocks_that_no_article_holds(spark):
+    odd = "<nav><ul><li>m<div><article><p>a<ul><li>b</ul><aside>s<blockquote>q</article><div class=ad>d</div><form>f</form><main><ol><li>c"
+    open_page = "<header>h</header><p>p</p><form><p>f</p></form><footer>t</footer>"
+    rows = spark.createDataFrame([(0, odd), (1, open_page), (2, "")], "page_id int, html string")
+    wanted = (*blocks.ARTICLE_REGIONS, *blocks.OPEN_REGIONS)
+    both = tokens.with_tokens(rows).select(blocks.block_array().alias("every"), blocks.block_array("tokens", wanted).alias("some"))
+    found = both.collect()
+    assert all(r["some"] == [b for b in r["every"] if b["region"] in wanted] for r in found)
+    assert [len(r["some"]) < len(r["every"]) for r in found] == [True, True, False]
+    assert [(b["region"], b["text"]) for b in found[0]["some"]] == [("article", "a"), ("article", "b"), ("form", "f"), ("main", "c")]
